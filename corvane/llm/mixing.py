@@ -96,10 +96,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     turns = placed.withColumn("pass", F.explode(passes)).withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col("size"), "quota"))
     taken = F.col("end") > F.col("start")
     turns = turns.where(taken | (F.col("pass") == 0))
-    ranks = F.when(taken, F.sequence(F.expr("start div block"), F.expr("(end - 1) div block")))
-    pieces = turns.withColumn("rank", F.explode_outer(ranks))
+    # Rows of which nothing is taken get ranks that no block has, all different ones, so that they are dealt evenly.
+    ranks = F.when(taken, F.sequence(F.expr("start div block"), F.expr("(end - 1) div block"))).otherwise(F.array(-1 - F.shiftrightunsigned("h", 1)))
+    pieces = turns.withColumn("rank", F.explode(ranks))
     words = F.least("end", (F.col("rank") + 1) * F.col("block")) - F.greatest("start", F.col("rank") * F.col("block"))
-    pieces = pieces.withColumn("words", F.when(F.col("rank").isNotNull(), words).otherwise(F.lit(0)))
+    pieces = pieces.withColumn("words", F.when(F.col("rank") >= 0, words).otherwise(F.lit(0)))
     blocks = shares.where("quota > 0").select("source_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(quota - 1) div block"))).alias("rank"))
     ordered = blocks.join(schedule(shares, slots), ["source_no", "rank"], "left")
     # What the schedule's rounding leaves over follows its end.
