@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 #: Rated documents that are fitted on at most: those with the least hashes of their keys.
 SAMPLE = 12_000
 #: Hashed features, passes over the sample, documents a step.
-FEATURES, EPOCHS, STEP = 1 << 18, 4, 64
+FEATURES, EPOCHS, STEP = 1 << 18, 8, 64
 #: Learning rate, its offset, L1 and L2 of the leader's steps.
-RATE, OFFSET, L1, L2 = 0.3, 1.0, 0.6, 0.02
+RATE, OFFSET, L1, L2 = 1.0, 1.0, 4.0, 0.02
 #: The probability of the top grade from which a document is kept.
 KEEP = 0.5
 
