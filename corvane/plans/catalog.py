@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corvane.plans import relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL}
 FLAGSHIP = "coverage_by_year"
