@@ -13,10 +13,10 @@ a third of all lines holds costs one row a line, never a pair of lines. Joined l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import GAP_CHARS, with_row_id, word_list, written
+from corvane.llm.common import GAP, GAP_CHARS, with_row_id, written
 
 #: Fewest words of a line that may be near another; shorter lines must be equal.
 LEAST_WORDS = 5
@@ -24,14 +24,24 @@ LEAST_WORDS = 5
 BROADCAST_ROWS = 2_000_000
 
 
-def _hashes(words: Column) -> tuple[Column, Column]:
-    return F.xxhash64(words), F.xxhash64(F.lit(1), words)
+def _hashes(value: Column) -> tuple[Column, Column]:
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _squeezed(line: Column) -> Column:
+    """The words of a line joined by single spaces; most lines are so already."""
+    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.regexp_replace(F.btrim(line, F.lit(GAP_CHARS)), GAP, " ")).otherwise(line)
+
+
+def _size(squeezed: Column) -> Column:
+    """Number of words of a squeezed line that has one."""
+    return F.octet_length(squeezed) - F.octet_length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1
+
+
+def _halves(squeezed: Column, n: Column) -> Column:
     def half(length: Column) -> list[Column]:
         h = F.floor(length / 2).cast("int")
-        return [F.xxhash64(F.lit(0), length, F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(1), length, F.slice(words, n - h + 1, h))]
+        return [F.xxhash64(F.lit(side), length, F.call_function("substring_index", squeezed, F.lit(" "), h if side else -h)) for side in (0, 1)]
 
     return F.array(*half(n), *half(n - 1))
 
@@ -40,6 +50,11 @@ def _has_words(line: Column) -> Column:
     return F.btrim(line, F.lit(GAP_CHARS)) != ""
 
 
+def _place() -> Column:
+    """What lines are ordered by: key (null last), row, place in the row."""
+    return F.struct(F.col("k").isNull().alias("none"), "k", "row_id", "line_no")
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -65,63 +80,87 @@ def _near_classes(classes: DataFrame, rows: DataFrame, least_words: int, broadca
     keyed = long_lines.select("h1", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
     maybe = keyed.join(shared, "half").select("h1").distinct()
-    places = written(long_lines.join(maybe, "h1", "left_semi").select("h1", "h2", "first"), "places")
-    by_row = places.groupBy(F.col("first.row_id").alias("row_id")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("at"))
-    by_row = written(by_row, "places-by-row")
+    places = long_lines.join(maybe, "h1", "left_semi").select("first.row_id", "first.line_no")
+    by_row = written(places.groupBy("row_id").agg(F.collect_list("line_no").alias("at")), "places-by-row")
     side = F.broadcast(by_row) if by_row.count() <= broadcast_rows else by_row.hint("shuffle_hash")
-    found = rows.select("row_id", F.col("t").alias("text")).join(side, "row_id").select(_lines(F.col("text")).alias("lines"), "at")
-    found = found.select("lines", F.explode("at").alias("p")).select("p.*", word_list(F.get("lines", F.col("p.first.line_no"))).alias("words"))
-    found = written(found, "candidate-lines")
-
-    n = F.size("words")
-    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("place"), *[h.alias(f"v{k}") for k, h in enumerate(_hashes(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n))), 1)]))
-    variants = written(found.select("h1", "h2", "first", F.explode(without).alias("v")).select("h1", "h2", "first", "v.*"), "variants")
-    earliest = variants.groupBy("v1", "v2", "place").agg(F.min(F.struct("first", "h1", "h2")).alias("e"), F.count("*").alias("c")).where("c > 1")
-    replaced = variants.join(earliest, ["v1", "v2", "place"]).where(F.col("first") > F.col("e.first")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
-    whole = found.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), F.col("first").alias("short_first"))
-    inserted = variants.join(whole, ["v1", "v2"])
-    short_later = F.col("short_first") > F.col("first")
-    inserted = inserted.select(
-        F.when(short_later, F.col("v1")).otherwise(F.col("h1")).alias("h1"),
-        F.when(short_later, F.col("v2")).otherwise(F.col("h2")).alias("h2"),
-        F.when(short_later, F.col("h1")).otherwise(F.col("v1")).alias("e1"),
-        F.when(short_later, F.col("h2")).otherwise(F.col("v2")).alias("e2"),
-    )
-    pairs = replaced.union(inserted).distinct()
-    texts = found.select("h1", "h2", "words")
-    joined = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("earlier")), ["e1", "e2"])
-    return joined.where(within_one(F.col("words"), F.col("earlier"))).select("h1", "h2").distinct()
-
-
-def deduped(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row_id", least_words: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(row, key, n_lines, n_kept, clean_text) of each row that has ``row``, a unique id.
+    found = rows.join(side, "row_id").select("row_id", "k", _lines(F.col("t")).alias("lines"), F.explode("at").alias("line_no"))
+    found = found.select(_place().alias("first"), _squeezed(F.get("lines", F.col("line_no"))).alias("line"))
+    h1, h2 = _hashes(F.col("line"))
+    found = found.select("first", h1.alias("h1"), h2.alias("h2"), F.split("line", " ").alias("words"))
+    # Numbers in the order of the lines' first places stand for the lines from here on.
+    found = written(found.orderBy("first").withColumn("no", F.monotonically_increasing_id()).drop("first"), "candidate-lines")
+    keyed = written(_neighbourhoods(found), "neighbourhoods")
+    deleted = F.col("deleted")
+    earliest = keyed.groupBy("variant", "place").agg(F.min(F.when(deleted, F.col("no"))).alias("first_deleted"), F.count_if(deleted).alias("n"), F.min(F.when(~deleted, F.col("no"))).alias("whole"))
+    earliest = earliest.where("n > 1 or (n = 1 and whole is not null)")
+    met = keyed.join(earliest, ["variant", "place"])
+    # Of one key: lines with a word substituted at its place, and a whole line that all of them have a word more than.
+    earlier = F.when(deleted, F.array("first_deleted", "whole")).otherwise(F.array("first_deleted"))
+    pairs = met.select("no", F.explode(earlier).alias("earlier")).where("earlier < no").distinct()
+    texts = found.select("no", "h1", "h2", "words")
+    joined = pairs.join(texts, "no").join(found.select(F.col("no").alias("earlier"), F.col("words").alias("before")), "earlier")
+    return joined.where(within_one(F.col("words"), F.col("before"))).select("h1", "h2").distinct()
+
+
+def _neighbourhoods(found: DataFrame) -> DataFrame:
+    """(variant, place, deleted, no): the hashed variants of lines (no, words), in time linear in the words.
+
+    A variant is hashed from sums of position-keyed word hashes, from the start up to its
+    place and from the end back to it, so a word deleted between does not shift them. deleted:
+    the word at the place is left out; else the line is whole, cut at the place.
+    """
+    low = (1 << 43) - 1
+    words = found.repartition("no").select("no", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+
+    def hashed(seed: int, position: Column) -> Column:
+        return F.xxhash64(F.lit(seed), position, F.col("word")).bitwiseAND(F.lit(low))
+
+    words = words.select("no", "n", "place", *[hashed(k, F.col("place")).alias(f"p{k}") for k in (0, 1)], *[hashed(k, F.col("n") - F.col("place")).alias(f"s{k}") for k in (2, 3)])
+    line = Window.partitionBy("no").orderBy("place")
+    ahead = [F.coalesce(F.sum(f"p{k}").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"a{k}") for k in (0, 1)]
+    behind = [F.coalesce(F.sum(f"s{k}").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias(f"b{k}") for k in (2, 3)]
+    sums = words.select("*", *ahead, *behind)
+
+    def variant(place: Column, deleted: bool, *parts: Column) -> Column:
+        return F.struct(F.xxhash64(*parts).alias("variant"), place.alias("place"), F.lit(deleted).alias("deleted"))
+
+    here = F.col("place")
+    out = [
+        variant(here, True, F.col("a0"), F.col("a1"), F.col("b2"), F.col("b3")),
+        variant(here, False, F.col("a0"), F.col("a1"), F.col("b2") + F.col("s2"), F.col("b3") + F.col("s3")),
+    ]
+    end = F.when(here == F.col("n") - 1, variant(here + 1, False, F.col("a0") + F.col("p0"), F.col("a1") + F.col("p1"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    return sums.select("no", F.explode(F.array_compact(F.array(*out, end))).alias("v")).select("v.*", "no")
+
+
+def deduped(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row_id", least_words: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """(row, key, n_lines, n_kept, clean_text, and a struct ``carried`` of ``carry`` columns if given) of each row that has ``row``, a unique id.
 
     Lines end at newlines. A line goes if an earlier one has the same words or is near it;
     earlier by key (null last), row id and place. Lines without words stay and do not count
     in n_lines. A null text stays null; a text that loses all lines with words keeps its
     blank ones. No rows: no rows.
     """
-    rows = rows.select(F.col(row).alias("row_id"), F.col(key).alias("k"), F.col(text).alias("t"))
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    rows = rows.select(F.col(row).alias("row_id"), F.col(key).alias("k"), F.col(text).alias("t"), *carried)
+    extra = ["carried"] if carry else []
     lines = rows.select("row_id", "k", F.posexplode(_lines(F.col("t"))).alias("line_no", "line"))
-    lines = lines.select("row_id", "k", "line_no", word_list(F.col("line")).alias("words")).where(F.size("words") > 0)
-    n = F.size("words")
-    h1, h2 = _hashes(F.col("words"))
-    none = F.lit(None).cast("long")
-    halves = _halves(F.col("words"), n)
-    hashed = lines.select("row_id", "k", "line_no", n.alias("n"), h1.alias("h1"), h2.alias("h2"), F.when(n >= least_words, halves).alias("halves"))
-    hashed = hashed.select("*", *[F.coalesce(F.get("halves", F.lit(i)), none).alias(f"half{i}") for i in range(4)])
-    place = F.struct(F.col("k").isNull().alias("none"), "k", "row_id", "line_no")
-    classes = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)])
+    lines = lines.select("row_id", "k", "line_no", _squeezed(F.col("line")).alias("line")).where("line != ''")
+    h1, h2 = _hashes(F.col("line"))
+    hashed = lines.select("row_id", "k", "line_no", "line", _size(F.col("line")).alias("n"), h1.alias("h1"), h2.alias("h2"))
+    hashed = hashed.select("row_id", "k", "line_no", "n", "h1", "h2", F.when(F.col("n") >= least_words, _halves(F.col("line"), F.col("n"))).alias("halves"))
+    hashed = hashed.select("*", *[F.get("halves", F.lit(i)).alias(f"half{i}") for i in range(4)])
+    classes = hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.min("n").alias("n"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)])
     classes = written(classes.select("h1", "h2", "first", "n", F.array(*[f"half{i}" for i in range(4)]).alias("halves")), "line-classes")
     near = written(_near_classes(classes, rows, least_words, broadcast_rows), "near-lines")
     kept = classes.join(near, ["h1", "h2"], "left_anti").groupBy(F.col("first.row_id").alias("row_id")).agg(F.collect_list("first.line_no").alias("kept"))
     out = rows.join(kept.hint("shuffle_hash"), "row_id", "left")
-    out = out.select("row_id", "k", "t", _lines(F.col("t")).alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    out = out.select("row_id", "k", "t", *extra, _lines(F.col("t")).alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~_has_words(F.get("lines", i)))
-    out = out.select("row_id", "k", "lines", "kept", F.when(F.col("t").isNull(), F.array().cast("array<int>")).otherwise(blank).alias("blank"))
+    out = out.select("row_id", "k", *extra, "lines", "kept", F.when(F.col("t").isNull(), F.array().cast("array<int>")).otherwise(blank).alias("blank"))
     clean = F.array_join(F.transform(F.sort_array(F.concat("kept", "blank")), lambda i: F.get("lines", i)), "\n")
     n_lines = F.coalesce(F.size("lines") - F.size("blank"), F.lit(0))
-    return out.select(F.col("row_id").alias(row), F.col("k").alias(key), F.when(F.col("lines").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size("kept").alias("n_kept"), F.when(F.col("lines").isNotNull(), clean).alias("clean_text"))
+    return out.select(F.col("row_id").alias(row), F.col("k").alias(key), F.when(F.col("lines").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size("kept").alias("n_kept"), F.when(F.col("lines").isNotNull(), clean).alias("clean_text"), *extra)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
