@@ -155,7 +155,9 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> D
             file.close()
 
     spans = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN_BYTES).alias("span"))
-    return spans.repartition("file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInPandas(read, READ)
+    # So many tasks as there are spans: an index is small, and would be read by one task where partitions are merged by size.
+    n = 1 + (index.agg(F.sum("length")).first()[0] or 0) // SPAN_BYTES
+    return spans.repartition(n, "file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInPandas(read, READ)
 
 
 def payload_key(html: Column) -> Column:
