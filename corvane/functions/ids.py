@@ -54,9 +54,7 @@ def fold(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(x, ACCENTED, PLAIN)), "[^a-z]", "")
 
 
-@F.pandas_udf("string")
-def fold_unicode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """``fold`` for every script: compatibility decomposition, then ASCII letters only."""
+def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import re
     import unicodedata
 
@@ -64,6 +62,11 @@ def fold_unicode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda s: None if s is None else re.sub("[^a-z]", "", unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()))
 
 
+def fold_unicode(x: Column) -> Column:
+    """``fold`` for every script: compatibility decomposition, then ASCII letters only."""
+    return F.pandas_udf(_folded, "string")(x)
+
+
 def name_words(name: Column) -> Column:
     return F.filter(F.split(F.trim(F.translate(F.coalesce(name, F.lit("")), ",", " ")), r"\s+"), lambda w: F.btrim(w, F.lit(".")) != "")
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import relational
+from corvane.plans import relational, textual
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **textual.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **textual.ORACLE_SQL}
 FLAGSHIP = "coverage_by_year"
