@@ -26,8 +26,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has made in the shared folder.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/corvane-{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/corvane-{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what the operators have left in the shared folder; their results must have been written elsewhere."""
+    while _MADE:
+        remove(spark, _MADE.pop())
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

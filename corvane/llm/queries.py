@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm import chat, decontamination, embeddings, line_dedup, lm_scoring, mixing, quality, simhash, url_filter, warc
 from corvane.llm.common import table
+from corvane.llm.oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
