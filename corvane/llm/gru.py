@@ -18,11 +18,13 @@ WORDS, WIDE, ENDINGS, UNITS = 2048, 64, 64, 16
 CORE = WORDS // WIDE
 CLASSES = CORE + ENDINGS
 #: Lanes and steps of a window while learning and while scoring, and the learning rate.
-LEARN_LANES, LEARN_STEPS, SCORE_LANES, SCORE_STEPS, RATE = 256, 16, 512, 16, 0.08
+LEARN_LANES, LEARN_STEPS, SCORE_LANES, SCORE_STEPS, RATE = 512, 16, 512, 16, 0.08
 #: While learning, a text is laid out in stretches of so many tokens, all of them, in random order: else the lanes of the
 #: longest texts would be learned from last and alone.
 STRETCH = 512
 ABSENT = -30.0
+#: Tokens whose class exponents are held at once, so that they stay in a core's cache.
+BLOCK = 1024
 
 SHAPES = {
     "x": (WORDS + ENDINGS, 3 * UNITS),
@@ -77,7 +79,7 @@ def lanes_of(texts: list[np.ndarray], most: int, order=None) -> tuple[np.ndarray
     order = np.argsort(-sizes, kind="stable")
     flat = [i for k in order for i in lanes[k]]
     tokens = np.concatenate([texts[i] for i in flat])
-    owner = np.repeat(np.array(flat), [len(texts[i]) for i in flat])
+    owner = np.repeat(np.array(flat, dtype=np.int32), [len(texts[i]) for i in flat])
     lengths = sizes[order]
     return tokens, owner, np.cumsum(lengths) - lengths, lengths
 
@@ -117,16 +119,22 @@ class Gru:
     def forward(self, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, store: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States before each token, (steps, lanes, units), and the state after the last."""
         steps, n = tokens.shape
-        xs, u, k = self.p["x"][tokens], self.p["u"], UNITS
+        x, u, k = self.p["x"], self.p["u"], UNITS
         states = np.empty((steps, n, k), dtype=np.float32)
         if store is not None:
             store |= {"gates": np.empty((steps, n, 2 * k), np.float32), "new": np.empty((steps, n, k), np.float32), "mixed": np.empty((steps, n, k), np.float32)}
         for t in range(steps):
             h = h * keep[t][:, None]
             states[t] = h
-            a = h @ u
-            gates = 0.5 * np.tanh(0.5 * (xs[t, :, : 2 * k] + a[:, : 2 * k])) + 0.5
-            new = np.tanh(xs[t, :, 2 * k :] + gates[:, k:] * a[:, 2 * k :])
+            a, xs = h @ u, x[tokens[t]]
+            gates = xs[:, : 2 * k] + a[:, : 2 * k]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new = gates[:, k:] * a[:, 2 * k :]
+            new += xs[:, 2 * k :]
+            np.tanh(new, out=new)
             if store is not None:
                 store["gates"][t], store["new"][t], store["mixed"][t] = gates, new, a[:, 2 * k :]
             h = new + gates[:, :k] * (h - new)
@@ -134,27 +142,36 @@ class Gru:
 
     def _classes(self, states: np.ndarray) -> np.ndarray:
         """Exponent of each class; far from overflow, as states lie within 1 and weights are small."""
-        return states @ self.p["wc"] + self.p["bc"]
+        out = states @ self.p["wc"]
+        out += self.p["bc"]
+        return out
 
-    def _by_class(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_class(self, tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Places of core words sorted by class, and (class, start, end) of the classes that occur."""
         core = np.nonzero(tokens < WORDS)[0]
         kind = tokens[core] // WIDE
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CORE + 1))
-        for k in range(CORE):
-            if bounds[k] < bounds[k + 1]:
-                yield k, core[order[bounds[k] : bounds[k + 1]]]
+        bounds = np.searchsorted(kind[order], np.arange(CORE + 1)).tolist()
+        return core[order], [(k, bounds[k], bounds[k + 1]) for k in range(CORE) if bounds[k] < bounds[k + 1]]
 
     def _within(self, k: int, states: np.ndarray) -> np.ndarray:
         """Exponent of each word of a class, less the largest bias."""
-        return states @ self.p["wk"][k] + (self.p["bk"][k] - self.p["bk"][k].max())
+        out = states @ self.p["wk"][k]
+        out += self.p["bk"][k] - self.p["bk"][k].max()
+        return out
 
     def log_chance(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability: of its class and, for core words, of the word in it."""
         kind = np.where(tokens < WORDS, tokens // WIDE, tokens - WORDS + CORE)
-        out = _log_softmax(self._classes(states), kind)
-        for k, at in self._by_class(tokens):
-            out[at] += _log_softmax(self._within(k, states[at]), tokens[at] % WIDE)
+        out = np.empty(len(tokens), dtype=np.float32)
+        for at in range(0, len(tokens), BLOCK):
+            out[at : at + BLOCK] = _log_softmax(self._classes(states[at : at + BLOCK]), kind[at : at + BLOCK])
+        order, classes = self._by_class(tokens)
+        own, word = states[order], tokens[order] % WIDE
+        more = np.empty(len(order), dtype=np.float32)
+        for k, a, b in classes:
+            more[a:b] = _log_softmax(self._within(k, own[a:b]), word[a:b])
+        out[order] += more
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -167,9 +184,11 @@ class Gru:
         for places, valid, keep in windows(owner, starts, lengths, SCORE_STEPS):
             now = tokens[places]
             states, h = self.forward(now, keep, h[: places.shape[1]])
-            at = valid.ravel()
-            logs = self.log_chance(states.reshape(-1, UNITS)[at], now.ravel()[at])
-            out += np.bincount(owner[places.ravel()[at]], weights=logs, minlength=len(texts))
+            states, now, who = states.reshape(-1, UNITS), now.ravel(), owner[places.ravel()]
+            if not valid.all():
+                at = valid.ravel()
+                states, now, who = states[at], now[at], who[at]
+            out += np.bincount(who, weights=self.log_chance(states, now), minlength=len(texts))
         return out
 
     def learn(self, texts: list[np.ndarray]) -> int:
@@ -198,15 +217,20 @@ class Gru:
         s, tok = states.reshape(-1, k)[at], now.ravel()[at]
         scale = np.float32(1 / (LEARN_LANES * LEARN_STEPS))
         kind = np.where(tok < WORDS, tok // WIDE, tok - WORDS + CORE)
-        dl = _slope(self._classes(s), kind, scale)
-        ds = dl @ self.p["wc"].T
+        ds, wc, bc = np.empty_like(s), np.zeros(SHAPES["wc"], np.float32), np.zeros(CLASSES, np.float32)
+        for lo in range(0, len(tok), BLOCK):
+            dl = _slope(self._classes(s[lo : lo + BLOCK]), kind[lo : lo + BLOCK], scale)
+            np.matmul(dl, self.p["wc"].T, out=ds[lo : lo + BLOCK])
+            wc += s[lo : lo + BLOCK].T @ dl
+            bc += dl.sum(axis=0)
         moves = []
-        for c, mine in self._by_class(tok):
-            sc = s[mine]
-            dk = _slope(self._within(c, sc), tok[mine] % WIDE, scale)
-            ds[mine] += dk @ self.p["wk"][c].T
-            moves.append((c, sc.T @ dk, dk.sum(axis=0)))
-        wc, bc = s.T @ dl, dl.sum(axis=0)
+        own, classes = self._by_class(tok)
+        sc, word, back = s[own], tok[own] % WIDE, np.empty((len(own), k), dtype=np.float32)
+        for c, lo, hi in classes:
+            dk = _slope(self._within(c, sc[lo:hi]), word[lo:hi], scale)
+            np.matmul(dk, self.p["wk"][c].T, out=back[lo:hi])
+            moves.append((c, sc[lo:hi].T @ dk, dk.sum(axis=0)))
+        ds[own] += back
         out = np.zeros((steps * n, k), dtype=np.float32)
         out[at] = ds
         out = out.reshape(steps, n, k)

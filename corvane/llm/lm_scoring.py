@@ -12,13 +12,16 @@ latter from the state for core words, from smoothed counts within the class for
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import gru
@@ -29,7 +32,9 @@ TABLE, SMOOTH, REPLICA = 1 << 17, 0.1, 1_000_000
 #: Parameters of a row while replicas are averaged.
 CHUNK = 4096
 #: The token after a text's last word.
-END = b""
+END = ""
+#: Rows of an Arrow batch, words of partial counts that a task holds, tokens that are laid out in lanes at once.
+BATCH_ROWS, HELD_WORDS, LAID_OUT = 1024, 300_000, 4_000_000
 
 
 def held_out(key: Column) -> Column:
@@ -37,48 +42,98 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def words(text) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of texts one after another, how many each has), A-Z lower-cased; null: none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, owner = split.flatten(), pc.list_parent_indices(split)
+    # A text that is blank at an end splits off an empty word there.
+    real = pc.not_equal(flat, "")
+    owner = owner.filter(real).to_numpy(zero_copy_only=False)
+    return flat.filter(real), np.bincount(owner, minlength=len(texts))
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % gru.ENDINGS
+def ending(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")[-2:]) % gru.ENDINGS
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+def endings(found: pa.Array) -> np.ndarray:
+    """The ending's class of each word, computed once a distinct word."""
+    coded = found.dictionary_encode()
+    each = np.array([ending(w) for w in coded.dictionary.to_pylist()], dtype=np.int32)
+    return each[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0, dtype=np.int32)
 
-    def out() -> pd.DataFrame:
-        found = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in counts], "c": list(counts.values())})
-        counts.clear()
-        return found.astype({"word": "object", "c": "int64"})
 
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    column = batch.column(batch.schema.get_field_index("text"))
+    return column.cast(pa.string()) if column.type != pa.string() else column
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts: merged again and again, given out where they grow large."""
+    parts: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+    ends = 0
     for batch in batches:
-        for text in batch["text"]:
-            counts.update(words(text))
-            counts[END] += 1
-            if len(counts) > 400_000:
-                yield out()
-    yield out()
+        tally = words(_texts(batch))[0].value_counts()
+        parts.append(pa.table({"word": tally.field("values"), "c": tally.field("counts")}))
+        ends += batch.num_rows
+        if sum(map(len, parts)) > 2 * HELD_WORDS:
+            parts[:] = [merged()]
+            if len(parts[0]) > HELD_WORDS:
+                yield from parts.pop().combine_chunks().to_batches(1 << 16)
+    if parts:
+        yield from merged().combine_chunks().to_batches(1 << 16)
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], ["word", "c"])
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Actions within send rows to Python in batches of ``BATCH_ROWS``: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) over all training documents; the end of a text is the empty word."""
-    parts = training.select(F.col(text).alias("text")).mapInPandas(_count, "word string, c long")
+    parts = training.select(F.col(text).alias("text")).mapInArrow(_count, "word string, c long")
     return written(parts.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
+@dataclass
+class Encoded:
+    """Tokens of texts one after another, each text ended: what the model reads, table numbers or -1, the text of each."""
+
+    tokens: np.ndarray
+    numbers: np.ndarray
+    text: np.ndarray
+    sizes: np.ndarray
+    rare: pa.Array  # words that the table lacks
+    rare_text: np.ndarray
+
+    def each(self) -> list[np.ndarray]:
+        return np.split(self.tokens, np.cumsum(self.sizes)[:-1])
+
+
 class Lexicon:
     """The bounded table of the most frequent words, and the sums that cover all words."""
 
     def __init__(self, table: list[tuple[str, int]], total: int, distinct: int) -> None:
         table = sorted(table, key=lambda x: (-x[1], x[0]))
         self.total, self.distinct = total, distinct
-        self.number = {w.encode("utf-8", "replace"): i for i, (w, _) in enumerate(table)}
+        self.words = pa.array([w for w, _ in table], pa.string())
         self.counts = np.array([c for _, c in table], dtype=np.float64)
         self.core = min(gru.WORDS, len(table))
         #: What the model reads for each table word: itself, or the class of its ending.
-        self.token = np.array([i if i < self.core else gru.WORDS + ending(w) for w, i in self.number.items()], dtype=np.int32)
+        self.token = np.array([i if i < self.core else gru.WORDS + ending(w) for i, (w, _) in enumerate(table)], dtype=np.int32)
         self.class_total = np.zeros(gru.ENDINGS)
         self.class_words = np.zeros(gru.ENDINGS)
 
@@ -90,18 +145,25 @@ class Lexicon:
     def base_log(self) -> float:
         return np.log10(self.total + SMOOTH * (self.distinct + 1))
 
-    def encode(self, text) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(what the model reads, table numbers or -1, words that the table lacks) of a text and its end."""
-        found = words(text)
-        found.append(END)
-        get = self.number.get
-        numbers = np.fromiter((get(w, -1) for w in found), dtype=np.int64, count=len(found))
-        lacking = np.nonzero(numbers < 0)[0]
-        tokens = self.token[numbers] if len(self.token) else np.zeros(len(found), dtype=np.int32)
-        rare = [found[i] for i in lacking]
-        if rare:
-            tokens[lacking] = [gru.WORDS + ending(w) for w in rare]
-        return tokens, numbers, rare
+    def encode(self, texts: pa.Array) -> Encoded:
+        found, sizes = words(texts)
+        n, ends = len(texts), np.cumsum(sizes + 1) - 1
+        place = np.ones(len(found) + n, dtype=bool)
+        place[ends] = False
+        numbers = np.full(len(place), -1, dtype=np.int32)
+        known = pc.fill_null(pc.index_in(found, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        numbers[place] = known
+        numbers[ends] = pc.fill_null(pc.index_in(pa.array([END]), value_set=self.words), -1)[0].as_py()
+        text = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+        rare = found.filter(pa.array(known < 0))
+        lacking = numbers < 0
+        rare_text = text[lacking & place]
+        if n and numbers[ends[0]] < 0:
+            rare, rare_text = pa.concat_arrays([rare, pa.array([END] * n)]), np.concatenate([rare_text, np.arange(n)])
+        tokens = self.token[numbers] if len(self.token) else np.zeros(len(numbers), dtype=np.int32)
+        tokens[lacking & place] = gru.WORDS + endings(found.filter(pa.array(known < 0)))
+        tokens[ends] = self.token[numbers[ends]] if n and numbers[ends[0]] >= 0 else gru.WORDS + ending(END)
+        return Encoded(tokens, numbers, text, sizes + 1, rare, rare_text)
 
 
 def lexicon(counts: DataFrame, most: int = TABLE) -> Lexicon:
@@ -116,17 +178,16 @@ def lexicon(counts: DataFrame, most: int = TABLE) -> Lexicon:
         least = r.c
     table = counts.where(F.col("c") >= least).toArrow()
     lex = Lexicon(list(zip(table["word"].to_pylist(), table["c"].to_pylist())), int(sums.n), int(sums.v))
-    core = set(list(lex.number)[: lex.core])
+    core = lex.words[: lex.core]
 
-    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoded = [w.encode("utf-8", "replace") for w in batch["word"]]
-            kept = np.array([w not in core for w in encoded], dtype=bool)
-            kinds = np.array([ending(w) for w in encoded], dtype=np.int64)[kept]
-            c = batch["c"].to_numpy()[kept]
-            yield pd.DataFrame({"kind": np.arange(gru.ENDINGS), "c": np.bincount(kinds, weights=c, minlength=gru.ENDINGS).astype(np.int64), "v": np.bincount(kinds, minlength=gru.ENDINGS)})
+            kept = pc.invert(pc.is_in(batch.column("word"), value_set=core))
+            kinds, c = endings(batch.column("word").filter(kept)), batch.column("c").filter(kept).to_numpy(zero_copy_only=False)
+            sums = np.bincount(kinds, weights=c, minlength=gru.ENDINGS).astype(np.int64), np.bincount(kinds, minlength=gru.ENDINGS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(gru.ENDINGS)), pa.array(sums[0]), pa.array(sums[1])], ["kind", "c", "v"])
 
-    for r in counts.mapInPandas(classed, "kind long, c long, v long").groupBy("kind").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
+    for r in counts.mapInArrow(classed, "kind long, c long, v long").groupBy("kind").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
         lex.class_total[r.kind], lex.class_words[r.kind] = r.c, r.v
     return lex
 
@@ -137,14 +198,20 @@ def learn(training: DataFrame, lex: Lexicon, text: str = "text", replica: int =
     start = gru.initial(lex.counts[: lex.core], lex.class_mass)
     held = context.broadcast((lex, start))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, start = held.value
-        model, seen = gru.Gru(start), 0
+        model, seen, held_tokens = gru.Gru(start), 0, []
         for batch in batches:
-            seen += model.learn([lex.encode(t)[0] for t in batch["text"]])
+            held_tokens += lex.encode(_texts(batch)).each() if batch.num_rows else []
+            if sum(map(len, held_tokens)) >= LAID_OUT:
+                seen += model.learn(held_tokens)
+                held_tokens = []
+        seen += model.learn(held_tokens)
         if seen:
             parts = [model.flat[at : at + CHUNK] for at in range(0, gru.SIZE, CHUNK)]
-            yield pd.DataFrame({"chunk": np.arange(len(parts)), "replica": TaskContext.get().partitionId(), "weight": seen, "part": parts})
+            n = len(parts)
+            columns = [pa.array(np.arange(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "replica", "weight", "part"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
@@ -158,7 +225,7 @@ def learn(training: DataFrame, lex: Lexicon, text: str = "text", replica: int =
 
     texts = training.select(F.col(text).alias("text"))
     shares = max(1, lex.total // replica)
-    replicas = texts.coalesce(min(shares, 1 << 30)).mapInPandas(run, "chunk int, replica int, weight long, part array<float>")
+    replicas = texts.coalesce(min(shares, 1 << 30)).mapInArrow(run, "chunk int, replica int, weight long, part array<float>")
     mean = replicas.repartition("chunk").sortWithinPartitions("chunk", "replica").mapInPandas(add, "chunk int, part array<double>").collect()
     flat = start.copy()
     for r in mean:
@@ -166,6 +233,29 @@ def learn(training: DataFrame, lex: Lexicon, text: str = "text", replica: int =
     return flat
 
 
+def _grouped(found: pa.Array, text: np.ndarray, n: int) -> pa.Array:
+    """Lists of (word, times) of each of n texts."""
+    counts = pa.table({"text": pa.array(text, pa.int64()), "word": found}).group_by(["text", "word"]).aggregate([([], "count_all")]).sort_by("text").combine_chunks()
+    cuts = np.searchsorted(counts["text"].to_numpy(), np.arange(n + 1))
+    word = counts["word"].combine_chunks() if len(counts) else pa.array([], pa.string())
+    times = counts["count_all"].combine_chunks().cast(pa.int32()) if len(counts) else pa.array([], pa.int32())
+    pairs = pa.StructArray.from_arrays([word, times], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
+
+
+def _facts(e: Encoded, lex: Lexicon, mass_log: np.ndarray, count_log: np.ndarray) -> tuple:
+    """Of each text: tokens, known ones, base score and the fixed part of the model's, and the words that a join has to find."""
+    n = len(e.sizes)
+    known, other = e.numbers >= 0, e.tokens >= gru.WORDS
+
+    def total(where: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(e.text[where], weights=values, minlength=n)
+
+    base = total(known, count_log[e.numbers[known]]) - lex.base_log * e.sizes
+    fixed = total(known & other, count_log[e.numbers[known & other]]) - total(other, mass_log[e.tokens[other] - gru.WORDS])
+    return e.sizes.astype(np.int64), total(known).astype(np.int64), base, fixed, _grouped(e.rare, e.rare_text, n)
+
+
 SCORED = "row_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int>>"
 
 
@@ -173,24 +263,32 @@ def score(rows: DataFrame, lex: Lexicon, flat: np.ndarray, counts: DataFrame, te
     """(row_id, n_tokens, n_known, base_score, score) of each row's whole text; logs to base 10."""
     held = rows.sparkSession.sparkContext.broadcast((lex, flat))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, flat = held.value
         model = gru.Gru(flat)
-        base_log, mass_log = lex.base_log, np.log10(lex.class_mass)
-        count_log = np.log10(lex.counts + SMOOTH)
+        mass_log, count_log = np.log10(lex.class_mass), np.log10(lex.counts + SMOOTH)
+        ids, facts, tokens = [], [], []
+
+        def out() -> pa.RecordBatch:
+            size, known, base, fixed, rare = (list(x) for x in zip(*facts))
+            chance = model.score(tokens) / np.log(10) + np.concatenate(fixed)
+            columns = [pa.concat_arrays(ids), *[pa.array(np.concatenate(x)) for x in (size, known, base)], pa.array(chance), pa.concat_arrays(rare)]
+            for x in (ids, facts, tokens):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["row_id", "n_tokens", "n_known", "base", "score", "rare"])
+
         for batch in batches:
-            encoded = [lex.encode(t) for t in batch["text"]]
-            logs = model.score([e[0] for e in encoded]) / np.log(10)
-            out = []
-            for row, (tokens, numbers, rare), chance in zip(batch["row_id"], encoded, logs):
-                known = numbers >= 0
-                base = count_log[numbers[known]].sum() - base_log * len(tokens)
-                other = tokens[tokens >= gru.WORDS] - gru.WORDS
-                fixed = count_log[numbers[known & (tokens >= gru.WORDS)]].sum() - mass_log[other].sum()
-                out.append((row, len(tokens), int(known.sum()), base, chance + fixed, [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in Counter(rare).items()]))
-            yield pd.DataFrame(out, columns=["row_id", "n_tokens", "n_known", "base", "score", "rare"])
-
-    scored = written(rows.select("row_id", F.col(text).alias("text")).mapInPandas(run, SCORED), "scored")
+            if batch.num_rows:
+                e = lex.encode(_texts(batch))
+                ids.append(batch.column("row_id"))
+                facts.append(_facts(e, lex, mass_log, count_log))
+                tokens += e.each()
+            if sum(map(len, tokens)) >= LAID_OUT:
+                yield out()
+        if tokens:
+            yield out()
+
+    scored = written(rows.select("row_id", F.col(text).alias("text")).mapInArrow(run, SCORED), "scored")
     rare = scored.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.n")
     met = rare.join(counts, "word", "left")
     more = met.groupBy("row_id").agg(
@@ -210,9 +308,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     rows = with_row_id(docs.select(F.col(key).alias("k"), F.col(text).alias("text"))).withColumn("held_out", held_out(F.col("k")))
     training = rows.where(~F.col("held_out"))
-    counts = word_counts(training)
-    lex = lexicon(counts)
-    flat = learn(training, lex)
-    found = score(rows, lex, flat, counts)
+    with small_batches(docs.sparkSession):
+        counts = word_counts(training)
+        lex = lexicon(counts)
+        flat = learn(training, lex)
+        found = score(rows, lex, flat, counts)
     out = rows.select("row_id", F.col("k").alias(key), "held_out").join(found, "row_id")
     return out.select(key, "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")
