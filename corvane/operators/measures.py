@@ -170,7 +170,7 @@ def confusion(guesses: DataFrame) -> DataFrame:
 
 
 def distinctive_terms(tokens: DataFrame, group: str, top: int, min_count: int, min_z: float, prior_total: float = 500.0) -> DataFrame:
-    """(group, word, z, n, place): words over-represented in a group by log-odds with a Dirichlet prior.
+    """(group, word, n, score, z, place): words over-represented in a group by log-odds with a Dirichlet prior; z is the score rounded.
 
     ``tokens``: one row per token (group, word). Counts are summed before they are shuffled; totals are
     one small row per group, the prior one row per word. Ties in z go by word.
@@ -186,7 +186,7 @@ def distinctive_terms(tokens: DataFrame, group: str, top: int, min_count: int, m
     n_j = F.col("alpha") - F.col("n_i")
     odds = F.ln((F.col("n") + a) / (F.col("n_i") + prior_total - F.col("n") - a)) - F.ln((y_j + a) / (n_j + prior_total - y_j - a))
     z = odds / F.sqrt(1 / (F.col("n") + a) + 1 / (y_j + a))
-    scored = rows.select(group, "word", "n", z.alias("z")).where(F.col("z") >= min_z).withColumn("z", F.bround("z", 2))
+    scored = rows.select(group, "word", "n", z.alias("score")).where(F.col("score") >= min_z).withColumn("z", F.bround("score", 2))
     return scored.withColumn("place", F.row_number().over(by_group.orderBy(F.desc("z"), "word"))).where(F.col("place") <= top)
 
 

@@ -589,7 +589,7 @@ def pilot_shares(v: Views) -> DataFrame:
     return measures.pilot_shares(_stances(v)).withColumn("share", F.round("share", 9))
 
 
-@query(PILOT + ", p AS (SELECT coder, sum(CASE WHEN stance = 'x' AND direction = 'against' THEN items END) / sum(CASE WHEN direction = 'against' THEN items END) - sum(CASE WHEN stance = 'x' AND direction = 'for' THEN items END) / sum(CASE WHEN direction = 'for' THEN items END) AS d, sum(CASE WHEN stance = '+' AND direction = 'for' THEN items END) / sum(CASE WHEN direction = 'for' THEN items END) - sum(CASE WHEN stance = '+' AND direction = 'against' THEN items END) / sum(CASE WHEN direction = 'against' THEN items END) AS a FROM c GROUP BY coder) SELECT round(avg(d), 9) AS d0, round(avg(a), 9) AS a0 FROM p", plain=True)
+@query(PILOT + ", p AS (SELECT coder, sum(CASE WHEN stance = 'x' AND direction = 'against' THEN items ELSE 0 END) / sum(CASE WHEN direction = 'against' THEN items END) - sum(CASE WHEN stance = 'x' AND direction = 'for' THEN items ELSE 0 END) / sum(CASE WHEN direction = 'for' THEN items END) AS d, sum(CASE WHEN stance = '+' AND direction = 'for' THEN items ELSE 0 END) / sum(CASE WHEN direction = 'for' THEN items END) - sum(CASE WHEN stance = '+' AND direction = 'against' THEN items ELSE 0 END) / sum(CASE WHEN direction = 'against' THEN items END) AS a FROM c GROUP BY coder) SELECT round(avg(d), 9) AS d0, round(avg(a), 9) AS a0 FROM p", plain=True)
 def pilot_points(v: Views) -> DataFrame:
     """AGG30, STG07."""
     return measures.pilot_points(_stances(v)).select(F.round("d0", 9).alias("d0"), F.round("a0", 9).alias("a0"))

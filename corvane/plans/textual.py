@@ -97,22 +97,7 @@ def distinctive_terms(v: Views) -> DataFrame:
     """AGG29, SRT03, SET06: all significant terms of each language, counted."""
     tokens = v.t("documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"))).alias("word"))
     rows = measures.distinctive_terms(tokens, "lang", 1 << 30, 5, 1.96)
-    exact = rows.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("tokens"))
-    return exact.join(_largest(tokens), "lang").select("lang", "terms", "tokens", "most")
-
-
-def _largest(tokens: DataFrame) -> DataFrame:
-    counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    e, ni, al = F.sum("n").over(Window.partitionBy("word")), F.sum("n").over(Window.partitionBy("lang")), None
-    whole = counts.agg(F.sum("n").alias("al"))
-    rows = counts.withColumn("e", e).withColumn("ni", ni).where("n >= 5").crossJoin(F.broadcast(whole))
-    del al
-    a = F.col("e") / F.col("al") * 500.0
-    yj, nj = F.col("e") - F.col("n"), F.col("al") - F.col("ni")
-    z = (F.ln((F.col("n") + a) / (F.col("ni") + 500.0 - F.col("n") - a)) - F.ln((yj + a) / (nj + 500.0 - yj - a))) / F.sqrt(1 / (F.col("n") + a) + 1 / (yj + a))
-    return rows.groupBy("lang").agg(F.round(F.max(z), 4).alias("most"))
+    return rows.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("tokens"), F.round(F.max("score"), 4).alias("most"))
 
 
 @query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w GROUP BY doc_id")
