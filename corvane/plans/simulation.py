@@ -226,6 +226,72 @@ def thresholds(rows: DataFrame, alpha: float) -> DataFrame:
     return band.crossJoin(most).crossJoin(loop)
 
 
+#: Gates of a verdict: least disconfirmations, members, citations and coverage; bands and thresholds; met conditions before H counts.
+GATES = {"n": 1, "m": 2, "v": 2, "r": 0.5, "delta": 0.2, "c": 0.4, "k": 3.0, "t": 0.6, "h": 0.6, "h0": 2}
+
+
+def verdicts(rows: DataFrame, gates: dict = GATES) -> DataFrame:
+    """Add the verdict (verdict, reason, note, corroboration, side) of measured rows; ``closed`` where there is one."""
+    from corvane.functions import decision
+
+    def iv(name: str):
+        x = F.col(name)
+        return F.when(F.size(x) == 3, F.struct(F.get(x, F.lit(0)).alias("point"), F.get(x, F.lit(1)).alias("lower"), F.get(x, F.lit(2)).alias("upper"), F.lit(0).alias("n")))
+
+    p = {k: F.lit(v) for k, v in gates.items()}
+    read = decision.reading(iv("delta"), iv("omega"), iv("share"), iv("loop"), p["delta"], p["c"], p["k"])
+    rows = rows.withColumn("oriented", F.array(F.struct(F.col("side").alias("side"), read["reading"].alias("reading"), read["note"].alias("note"))))
+    closed = F.coalesce("closed", F.lit(False)) if "closed" in rows.columns else F.lit(False)
+    m = {
+        "closed": closed, "cites": F.lit(True), "disconfirmations": F.col("entries"), "members": F.col("members"), "citations": F.col("citations"), "coverage": F.lit(1.0), "favoured": F.col("side"),
+        "primary": decision.primary_reading(F.col("oriented")), "tau": iv("tau"), "tau_measurable": F.col("tau").isNotNull(), "honoured": iv("honoured"), "honoured_measurable": F.col("honoured").isNotNull(),
+    }
+    return rows.withColumn("verdict", decision.verdict(m, p)).drop("oriented")
+
+
+def recovery(rows: DataFrame, gates: dict = GATES) -> DataFrame:
+    """(profile, members, verdict, reason, n, share) over replicates."""
+    from pyspark.sql import Window
+
+    counts = verdicts(rows, gates).groupBy("profile", "members", "verdict.verdict", "verdict.reason").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("profile", "members")))
+
+
+SCENARIO = "lineage_id string, parent string, profile string, window int, members int, closed boolean"
+
+
+def scenario(spark: SparkSession, config: Config, lineages: list[tuple[str, str | None, str, int, int, int | None]], windows: int, replicates: int, gates: dict = GATES) -> DataFrame:
+    """A verdict of each lineage in each window and replicate; a window after a lineage's end is closed.
+
+    ``lineages``: (id, parent, profile, first window, members, last window or none).
+    """
+    plan = [(i, p, kind, w, size, end is not None and w > end) for i, p, kind, start, size, end in lineages for w in range(start, windows)]
+    rows = spark.createDataFrame(plan, SCENARIO).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                rng = row_rng(config.seed, f"{r.lineage_id}:{r.profile}", r.members, r.window, r.replicate)
+                e = plant_commitment(config.profiles[r.profile], r.members, config, rng)
+                out.append({"lineage_id": r.lineage_id, "window": r.window, "closed": r.closed, "profile": r.profile, "members": r.members, "replicate": r.replicate} | measure(e, config, rng))
+            yield pd.DataFrame(out, columns=["lineage_id", "window", "closed", *[c.split()[0] for c in GRID.split(", ")]])
+
+    return verdicts(rows.mapInPandas(run, f"lineage_id string, window int, closed boolean, {GRID}"), gates)
+
+
+def scenario_summary(found: DataFrame) -> DataFrame:
+    """(replicate, summary) of a scenario's verdicts: uniform, split, shifted or undetermined."""
+    from corvane.operators.measures import field_summary
+
+    return field_summary(found.select("replicate", "lineage_id", "verdict.verdict"), ["replicate"])
+
+
+def pilot_power(found: DataFrame, predicted: str) -> DataFrame:
+    """(replicates, power): how often a scenario's summary is the predicted one."""
+    return scenario_summary(found).agg(F.count("*").alias("replicates"), F.avg((F.col("summary") == predicted).cast("double")).alias("power"))
+
+
 def planted_network(spark: SparkSession, communities: int, members: int, years: range, papers: int, seed: int, inside: float = 0.9, cites: int = 4, outsiders: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(works, authorships, citations) with planted communities; a small fixture made on the driver."""
     rng = np.random.default_rng(seed)

@@ -200,6 +200,21 @@ def test_grid_recovers_what_is_planted(spark):
     assert 0 < bands.insulating_most <= 1 and bands.delta_band > 0
 
 
+def test_scenarios_are_split_where_planted_so(spark):
+    config = simulation.Config(draws=60)
+    lineages = [("L1", None, "healthy", 0, 60, None), ("L2", "L1", "insulated", 1, 60, 1)]
+    found = simulation.scenario(spark, config, lineages, 3, 4).cache()
+    got = found.select("lineage_id", "window", "verdict.*").collect()
+    assert len(got) == 20 and all(r.verdict == "closed" for r in got if r.lineage_id == "L2" and r.window == 2)
+    assert not any(r.verdict == "insulated" for r in got if r.lineage_id == "L1")
+    assert not any(r.verdict == "healthy" for r in got if r.lineage_id == "L2")
+    assert all((r.reason is not None) == (r.verdict == "indeterminate") for r in got)
+    power = simulation.pilot_power(found, "split").first()
+    assert power.replicates == 4 and 0 <= power.power <= 1
+    share = simulation.recovery(simulation.grid(spark, config, [60], 6)).collect()
+    assert abs(sum(r.share for r in share if r.profile == "healthy") - 1) < 1e-9
+
+
 def test_memberships():
     rows_ = simulation.memberships([("a", 0, 10, None), ("b", 1, 6, "a")], 3, 0.2, 1)
     of = lambda n, w: {m for x, y, m in rows_ if x == n and y == w}
