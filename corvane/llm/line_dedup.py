@@ -30,7 +30,10 @@ def _hashes(value: Column) -> tuple[Column, Column]:
 
 def _squeezed(line: Column) -> Column:
     """The words of a line joined by single spaces; most lines are so already."""
-    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.regexp_replace(F.btrim(line, F.lit(GAP_CHARS)), GAP, " ")).otherwise(line)
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for gap in GAP_CHARS.replace(" ", "").replace("\n", ""):
+        odd = odd | line.contains(gap)
+    return F.when(odd, F.regexp_replace(F.btrim(line, F.lit(GAP_CHARS)), GAP, " ")).otherwise(line)
 
 
 def _size(squeezed: Column) -> Column:
