@@ -27,8 +27,12 @@ from corvane.llm.common import with_row_id, written
 from corvane.llm.components import connected_components
 
 COSINE = 0.9
-#: The sample that pivots are fitted on (the vectors with the least hashes), and the most pivots.
-SAMPLE, PIVOTS = 4096, 1024
+#: Pivots: as many as PER_ROOT times the root of the number of vectors, within bounds; lists of triples of them then
+#: get shorter as vectors get more, up to the bound. The sample that they are fitted on (the vectors with the least
+#: hashes) is SAMPLED times as large.
+PER_ROOT, LEAST_PIVOTS, PIVOTS, SAMPLED = 9, 256, 4096, 4
+#: Base of the numbers that triples are written in; over PIVOTS.
+DIGIT = 8192
 #: Nearest pivots that describe a vector, and how many of them a pair must share.
 PREFIX, SHARED = 10, 3
 #: Vectors of a list that are compared with as many others at once.
@@ -41,20 +45,26 @@ def _unit(rows: list) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def pivot_count(vectors: int) -> int:
+    return min(PIVOTS, max(LEAST_PIVOTS, round(PER_ROOT * math.sqrt(vectors))))
+
+
 def pick_pivots(sample: list, cosine: float = COSINE, most: int = PIVOTS) -> dict[int, np.ndarray]:
     """Pivots by number of components: sample vectors far from one another, each moved to the mean of those near it."""
     apart = math.cos(min(math.pi, 2 * math.acos(cosine))) - 1e-9
     found = {}
     for size in sorted({len(v) for v in sample}):
         units = _unit([v for v in sample if len(v) == size])
-        kept: list[np.ndarray] = []
-        for i in range(len(units)):
-            near = units[units @ units[i] >= cosine]
-            mean = near.sum(axis=0)
+        kept, n = np.empty((min(most, len(units)), size)), 0
+        for unit in units:
+            if n == len(kept):
+                break
+            mean = units[units @ unit >= cosine].sum(axis=0)
             mean /= np.sqrt(mean @ mean)
-            if len(kept) < most and (not kept or (np.array(kept) @ mean).max() < apart):
-                kept.append(mean)
-        found[size] = np.array(kept)
+            if n == 0 or (kept[:n] @ mean).max() < apart:
+                kept[n] = mean
+                n += 1
+        found[size] = kept[:n]
     return found
 
 
@@ -81,7 +91,7 @@ def _describe(pivots: dict[int, np.ndarray], cosine: float, prefix: int, shared:
                 subsets = np.array(list(combinations(range(k), t)))
                 keys = np.zeros((len(part), len(subsets)), dtype=np.int64) + int(size)
                 for place in range(t):
-                    keys = keys * 4096 + lists[:, subsets[:, place]] + 1
+                    keys = keys * DIGIT + lists[:, subsets[:, place]] + 1
                 yield pd.DataFrame({"cls": part["cls"], "n": part["n"], "core": core, "prefix": list(lists), "keys": list(keys)})
 
     return describe
@@ -94,7 +104,7 @@ def _owner(a: np.ndarray, b: np.ndarray, size: int, shared: int) -> int:
         return -1 - size
     key = size
     for p in both[: min(shared, len(a))]:
-        key = key * 4096 + int(p) + 1
+        key = key * DIGIT + int(p) + 1
     return key
 
 
@@ -208,8 +218,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     valid = rows.where("valid").select("row_id", "id", "v", *h)
     classes = valid.groupBy("h1", "h2").agg(F.min("row_id").alias("cls"), F.count("*").alias("n"), F.min("id").alias("least"), F.first("v").alias("v"))
     classes = written(classes, "vectors")
-    sample = [r.v for r in classes.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("v").collect()]
-    pivots = pick_pivots(sample, cosine)
+    most = pivot_count(classes.count())
+    sample = [r.v for r in classes.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLED * most).select("v").collect()]
+    pivots = pick_pivots(sample, cosine, most)
     described = classes.select("cls", "n", "v").mapInPandas(_describe(pivots, cosine, PREFIX, SHARED), "cls long, n long, core int, prefix array<int>, keys array<long>")
     described = written(described, "pivot-lists")
     listed = described.select("cls", "core", F.explode("keys").alias("key"))
