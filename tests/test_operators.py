@@ -230,3 +230,41 @@ def test_dependency_cycle_raises(spark):
 def test_union_first_and_diff(spark):
     a, b = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
     assert rows(core.union_first([a, b], ["k"]), "k", "v") == [(1, "a"), (2, "c")]
+
+
+def test_catalogue_rule(spark):
+    from test_functions import refs
+
+    wanted = [
+        dict(year=1999, volume="D12", first_page="7", journal="J. Things", text="Lee A."),
+        dict(year=1999, volume="12", first_page="8", journal="J. Things", text="Lee A."),
+        dict(year=2009, volume="12", first_page="7", journal="J. Things", text="Lee A."),
+        dict(year=1999, volume="12", journal="J. Things", text="Lee A. No page."),
+        dict(year=1999, volume="12", first_page="7", journal="Other", text="Lee A."),
+        dict(year=1999, first_page="7", journal="J. Things", text="Lee A."),
+    ]
+    df = refs(spark, wanted).select(F.col("i").alias("ref_id"), "ref")
+    entry = [(["Journal of Things"], 2000, "12", "7", "lee")]
+    entries = spark.createDataFrame(entry, "aliases array<string>, year int, volume string, first_page string, first_author string")
+    assert sorted(r.ref_id for r in census.catalogue_matches(df, entries, 1).collect()) == [0, 3]
+
+
+def test_reference_matches_break_ties_by_journal(spark):
+    from test_functions import refs
+
+    df = refs(spark, [dict(year=1986, volume="56", first_page="3", journal="Phys. Rev. Lett."), dict(year=1986, volume="57", first_page="3", journal="Nature"), dict(year=1990, volume="1", first_page="1"), dict(year=1978)])
+    works = [(1986, "56", "3", "Physical Review Letters"), (1987, "56", "3", "Physics Letters B"), (1986, "57", "3", "A"), (1986, "57", "3", "B")]
+    found = census.match_references(df.select(F.col("i").alias("ref_id"), "ref"), spark.createDataFrame(works, "year int, volume string, first_page string, journal string"), 1)
+    assert {r.ref_id: r.match for r in found.collect()} == {0: True, 1: False, 2: False, 3: None}
+
+
+def test_frames_and_windows_of_a_census(spark):
+    rows_ = spark.createDataFrame([("L1@1990", 0.5, True), ("L@2@1991", 0.25, False)], "frame_id string, coverage double, measurable boolean")
+    got = {(r.lineage_id, r.window_start): r.coverage for r in census.coverage_by_window(rows_).collect()}
+    assert got == {("L1", 1990): 0.5, ("L@2", 1991): None}
+    frames = spark.createDataFrame([("f", "W1"), ("f", "W1"), ("f", "W2"), ("g", "W1")], "frame_id string, work_id string")
+    assert rows(census.frame_counts(frames), "frame_id", "works") == [("f", 2), ("g", 1)]
+    from corvane.sources.bibliographic import cut_listing
+
+    at = spark.createDataFrame([(0, 100), (9900, 99), (9900, 50)], "o int, n int").select(cut_listing(F.col("o"), F.col("n"), 99, 10000)).collect()
+    assert [r[0] for r in at] == [False, True, False]
