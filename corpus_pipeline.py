@@ -2,7 +2,7 @@
 
 1. quality: documents whose expected rating is not good go (toxic or poor ones).
 2. line_dedup: lines that repeat, or nearly repeat, an earlier line go; documents without a line left go.
-3. simhash: of each group of near-duplicates the document with the least id stays.
+3. simhash: of each group of near-duplicates (0.8 or more of their five-word shingles shared) the document with the least id stays.
 4. decontamination: documents that hold a benchmark item go.
 5. mixing: documents that the mix takes stay, with how many words it takes and when first.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontamination, line_dedup, mixing, quality, simhash
+from corvane.llm import decontamination, line_dedup, mixing, quality, shingles
 from corvane.llm.common import table, with_row_id, written
 
 #: Most row ids that are sent to every executor to leave rows out; beyond, the join shuffles.
@@ -41,8 +41,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = with_row_id(docs, "_row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = simhash.near_duplicates(rows.select(order.alias("k"), "text"), "k")
-    gone = written(groups.where(F.col("k") != F.col("component_id")).select(F.col("k.row").alias("_row")), "copies")
+    groups = shingles.near_duplicates(rows.select(order.alias("k"), "_row", "text"), "k", row="_row")
+    gone = written(groups.where(F.col("k") != F.col("component_id")).select("_row"), "copies")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
     return rows.join(side, "_row", "left_anti").select(*docs.columns)
 

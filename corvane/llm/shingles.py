@@ -1,0 +1,173 @@
+"""Near-duplicate texts by the Jaccard similarity of their word shingles, exactly.
+
+Two texts whose shingle sets have a Jaccard similarity of ``SHARE`` or more have a shingle in
+common among the first n - ceil(SHARE n) + 1 of their n shingles, in any one order of all
+shingles (prefix filtering). Shingles that are common in a sample of texts come last in that
+order, else hashes order them; the order changes what is compared, never what is found. Texts
+that share such a shingle are verified on the shingles of the whole texts, if sketches of
+parities do not show already that too many shingles are not shared: the bits in which two
+sketches differ are at most as many as the shingles that only one of two sets has.
+
+Of a shingle that more than ``BUCKET`` sets begin with, all are compared with one of them first;
+only pairs that this leaves in different components are compared after that.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corvane.llm.common import written
+from corvane.llm.components import connected_components
+
+HASH_SEED = 42
+#: Words of a shingle; least Jaccard similarity as numerator and denominator.
+WIDTH, SHARE = 5, (4, 5)
+#: Most sets under one shingle that are compared pair by pair at once.
+BUCKET = 32
+#: Texts whose shingles are counted, in how many of them a common shingle is, and most common shingles that are kept.
+COUNTED, COMMON, MOST_COMMON = 4000, 4, 65_536
+#: Longs of a sketch, and of the wide one that pairs of long texts are tried by before their sets are joined.
+SKETCH, WIDE = 16, 256
+#: Most shingles or row ids, and most sketches, that are sent to every executor; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_SKETCHES = 2_000_000, 200_000
+
+
+def shingles_of(text, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than ``width`` are one shingle, none have none."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    grams = map(b" ".join, zip(*[words[k:] for k in range(width)])) if len(words) >= width else [b" ".join(words)]
+    digests = b"".join(map(xxhash.xxh64_digest, grams, repeat(HASH_SEED)))
+    return np.unique(np.frombuffer(digests, dtype=">i8").astype(np.int64))
+
+
+def _hashed(text: Column, width: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles_of(t, width) for t in texts], dtype=object)
+
+    return of(text)
+
+
+def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), sorted by hash, of the commonest shingles in a sample of texts."""
+    every = max(1, rows.count() // COUNTED)
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+    counts = sample.select(F.explode(_hashed(F.col("t"), width)).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
+    return found["h"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: tuple[int, int] = SHARE) -> np.ndarray:
+    """The first shingles of a set, rare ones first, one of which any set near it has among its own."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    seen = np.zeros(n, dtype=np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        seen = np.where(common[0][at] == hashes, common[1][at], 0)
+    return hashes[np.lexsort((hashes, seen))[: n + (-n * share[0] // share[1]) + 1]]
+
+
+def _near_sizes(share: tuple[int, int]) -> Column:
+    return F.least("n", "m") * share[1] >= F.greatest("n", "m") * share[0]
+
+
+def sketch_of(hashes: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Parities of the numbers of hashes that fall to each bit."""
+    bits = np.bincount(hashes & (64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _sketched(sets: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(hashes: pd.Series) -> pd.Series:
+        return pd.Series([sketch_of(h, WIDE) for h in hashes], dtype=object)
+
+    return of(sets)
+
+
+def _sent(side: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(side) if side.count() <= most else side.hint("shuffle_hash")
+
+
+def _named(pairs: DataFrame, made: DataFrame, *columns: str) -> DataFrame:
+    """(sig, columns) of the sets in pairs, of one row for each set."""
+    need = pairs.select("src").union(pairs.select("dst")).distinct()
+    found = made.join(need, made["sig"] == need["src"]).groupBy("sig").agg(F.min(F.struct("row", *columns)).alias("x"))
+    return written(found.select("sig", "x.row", *[f"x.{c}" for c in columns]), "shingle-rows")
+
+
+def _verified(pairs: DataFrame, made: DataFrame, rows: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """(src, dst) of the pairs of sets whose similarity on whole texts is ``share`` or more."""
+    def allowed(pairs: DataFrame, side: DataFrame, apart: Column) -> DataFrame:
+        both = pairs.join(side.select(F.col("sig").alias("src"), F.col("n"), F.col("z").alias("a")), "src")
+        both = both.join(side.select(F.col("sig").alias("dst"), F.col("n").alias("m"), F.col("z").alias("b")), "dst")
+        return written(both.where(apart * (share[1] + share[0]) <= (F.col("n") + F.col("m")) * (share[1] - share[0])).select("src", "dst"), "shingle-pairs")
+
+    apart = sum((F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    likely = allowed(pairs, _sent(_named(pairs, made, "n", "z"), BROADCAST_SKETCHES), apart)
+    found = _sent(_named(likely, made), BROADCAST_ROWS)
+    sets = written(rows.join(found, "row").select("sig", _hashed(F.col("t"), width).alias("s")), "shingle-sets")
+    wide = written(sets.select("sig", F.size("s").alias("n"), _sketched(F.col("s")).alias("z")), "shingle-sketches")
+    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    likely = allowed(likely, wide, differ)
+    both = likely.join(sets.select(F.col("sig").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("sig").alias("dst"), F.col("s").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared * (share[0] + share[1]) >= (F.size("a") + F.size("b")) * share[0]).select("src", "dst")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row_id", width: int = WIDTH, share: tuple[int, int] = SHARE, bucket: int = BUCKET) -> DataFrame:
+    """(row, key, component_id) of each row that has ``row``, a unique id, the same in every scan.
+
+    component_id: the least key reachable over links of texts whose sets of ``width``-word
+    shingles (ASCII case folded) have a Jaccard similarity of ``share`` or more. Null, empty
+    and blank texts are near one another. Sets are told apart by 64-bit hashes.
+    """
+    rows = docs.select(F.col(row).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    common = _common(rows, width)
+
+    @F.pandas_udf("sig long, n long, z array<long>, prefix array<long>")
+    def begun(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        sets = [shingles_of(t, width) for t in texts]
+        sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"sig": sig, "n": [len(s) for s in sets], "z": [sketch_of(s) for s in sets], "prefix": [prefix_of(s, common, share) for s in sets]})
+
+    made = written(rows.select("row", "k", begun("t").alias("s")).select("row", "k", "s.*"), "shingles")
+    keyed = made.select("sig", "n", F.explode("prefix").alias("h"))
+    shared = keyed.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("h")
+    shared = _sent(written(shared, "shared-shingles"), BROADCAST_ROWS)
+    busy = written(keyed.join(shared, "h").distinct(), "shared-shingles")
+    sizes = busy.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("sig", "n")).alias("first"))
+    held = written(busy.join(sizes, "h"), "shingle-buckets")
+    few, many = held.where(F.col("c") <= bucket).select("h", "sig", "n"), held.where(F.col("c") > bucket)
+    other = few.select("h", F.col("sig").alias("dst"), F.col("n").alias("m"))
+    pairs = few.join(other, "h").where(F.col("sig") > F.col("dst")).where(_near_sizes(share)).select(F.col("sig").alias("src"), "dst")
+    stars = many.select("sig", "n", F.col("first.sig").alias("dst"), F.col("first.n").alias("m")).where("sig > dst").where(_near_sizes(share)).select(F.col("sig").alias("src"), "dst")
+    pairs = written(pairs.union(stars).distinct(), "shingle-pairs")
+    links = written(_verified(pairs, made, rows, width, share), "shingle-links")
+    roots = connected_components(links)
+    apart = many.select("h", "sig", "n").join(roots, many["sig"] == roots["node"], "left").select("h", "sig", "n", F.coalesce("component", "sig").alias("c"))
+    mixed = apart.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
+    apart = written(apart.join(mixed, "h"), "shingles-apart")
+    if not apart.isEmpty():
+        other = apart.select("h", F.col("sig").alias("dst"), F.col("n").alias("m"), F.col("c").alias("d"))
+        rest = apart.join(other, "h").where(F.col("c") > F.col("d")).where(_near_sizes(share)).select(F.col("sig").alias("src"), "dst")
+        rest = written(rest.distinct(), "shingle-pairs")
+        links = links.union(written(_verified(rest, made, rows, width, share), "shingle-links"))
+        roots = connected_components(links)
+    classes = made.groupBy("sig").agg(F.min("k").alias("least"))
+    rooted = written(classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("component", "sig").alias("root")), "rooted")
+    members = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
+    return made.select("row", "k", "sig").join(members, "sig").select(F.col("row").alias(row), F.col("k").alias(key), "component_id")

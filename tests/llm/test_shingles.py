@@ -1,0 +1,69 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from corvane.llm import shingles
+
+
+def slow_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_groups(texts):
+    sets = {k: slow_set(t) for k, t in texts.items()}
+    root = dict.fromkeys(sets)
+    for k in sorted(sets):
+        if root[k] is None:
+            root[k], todo = k, [k]
+            while todo:
+                a = sets[todo.pop()]
+                for m, b in sets.items():
+                    if root[m] is None and (a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))):
+                        root[m] = k
+                        todo.append(m)
+    return root
+
+
+def planted():
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = [word() for _ in range(40)]
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(60, 150))]
+        for edits in (0, 1, 2, 3, 4, 6):
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = word()
+            texts.append(" ".join(w))
+    texts += [" ".join(common + [word() for _ in range(rng.randint(5, 60))]) for _ in range(30)]
+    texts += ["", None, " \t", "one two", "One TWO", "one two three"]
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_groups_equal_slow(spark, bucket):
+    texts = planted()
+    df = spark.createDataFrame([(k, t, k + 100) for k, t in texts.items()], "doc_id long, text string, row_id long")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df, bucket=bucket).collect()}
+    assert got == slow_groups(texts)
+
+
+def test_prefix_with_common_last():
+    hashes = np.arange(10, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    assert list(shingles.prefix_of(hashes, (none, none))) == [0, 1, 2]
+    assert list(shingles.prefix_of(hashes, (np.array([0, 2]), np.array([9, 5])))) == [1, 3, 4]
+
+
+def test_stage_drops_edited_copies(spark, sf_dir):
+    """A copy with two changed words of a hundred is beyond two bits of SimHash but shares nine tenths of its shingles."""
+    w = [f"word{i}" for i in range(100)]
+    edited = [*w[:20], "other", *w[21:70], "another", *w[71:]]
+    rows = [(1, " ".join(w)), (2, " ".join(edited)), (3, " ".join(w[:50]))]
+    docs = cp.written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "edited")
+    assert sorted(r.doc_id for r in cp.one_of_each(spark, docs, sf_dir).collect()) == [1, 3]
