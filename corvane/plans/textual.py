@@ -131,7 +131,7 @@ def numbered_markers(v: Views) -> DataFrame:
 @query()
 def context_items(v: Views) -> DataFrame:
     """TXT10-TXT12: masked and redacted items with the reasons of what is dropped; tested on goldens."""
-    docs = v.t("documents").select(F.col("source").alias("cited_work"), F.col("doc_id").cast("string").alias("source"), F.concat(F.substring("text", 1, 400), F.lit(" as was shown [12] by others.")).alias("text"))
+    docs = v.t("documents").select(F.col("source").alias("cited_work"), F.col("doc_id").cast("string").alias("source"), F.concat("text", F.lit(" as was shown [12] by others.")).alias("text"))
     return build_items(docs.withColumn("family", F.lit(None).cast("string")).withColumn("year", F.lit(None).cast("int")).withColumn("positions", F.lit(None).cast("array<int>")).withColumn("list_length", F.lit(None).cast("int")), [{"terms": ["the an*"], "names": ["Anble"]}])
 
 
