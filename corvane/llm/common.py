@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Most row ids (two longs, and one more) that are sent to every executor: some tens of MB there. Beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-scratch-"))
             held = spark.sparkContext.getCheckpointDir()
         found = held
@@ -57,9 +62,52 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether the frame is a scan of Parquet files with nothing over it but projections and filters."""
+    if "_metadata" in df.columns:
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower()
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A unique id of each row, the same in every scan of the same files (partition and place within it)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A unique id of each row, the same in every scan whatever the splits and the executors.
+
+    A row of a file is named by its file and its place in it, which no split changes. Any
+    other frame is written once, with its ids, and read from there; its ids have the same type.
+    """
+    if _scans_files(df):
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+    return written(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), "rows")
+
+
+def sent(side: DataFrame, most: int) -> DataFrame:
+    """A written table of rows of fixed width as a side of a join: to every executor if it has ``most`` rows at most, else shuffled."""
+    return F.broadcast(side) if side.count() <= most else side.hint("shuffle_hash")
+
+
+def in_order(df: DataFrame, order: list, tag: str) -> DataFrame:
+    """The rows sorted over all partitions, written with ``part`` and ``place``.
+
+    Parts follow one another and places count from 0 within each, so that ranks and running
+    sums over the whole need a window within parts and a sum of each part, never one task for all.
+    """
+    at = F.monotonically_increasing_id()
+    held = df.orderBy(*order).select("*", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    return written(held, tag)
+
+
+def before_part(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """(part, name): the sum of ``value`` over the parts before each, of a table from ``in_order``; as many rows as parts."""
+    sums = df.groupBy("part").agg(F.sum(value).alias("s")).orderBy("part").collect()
+    kind = "double" if isinstance(sums[0].s if sums else 0, float) else "long"
+    total, rows = 0, []
+    for r in sums:
+        rows.append((r.part, total))
+        total += r.s or 0
+    return F.broadcast(df.sparkSession.createDataFrame([(p, float(t) if kind == "double" else int(t)) for p, t in rows], f"part int, {name} {kind}"))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -19,9 +19,6 @@ CORE = WORDS // WIDE
 CLASSES = CORE + ENDINGS
 #: Lanes and steps of a window while learning and while scoring, and the learning rate.
 LEARN_LANES, LEARN_STEPS, SCORE_LANES, SCORE_STEPS, RATE = 512, 16, 512, 16, 0.08
-#: While learning, a text is laid out in stretches of so many tokens, all of them, in random order: else the lanes of the
-#: longest texts would be learned from last and alone.
-STRETCH = 512
 ABSENT = -30.0
 #: Tokens whose class exponents are held at once, so that they stay in a core's cache.
 BLOCK = 1024
@@ -84,6 +81,15 @@ def lanes_of(texts: list[np.ndarray], most: int, order=None) -> tuple[np.ndarray
     return tokens, owner, np.cumsum(lengths) - lengths, lengths
 
 
+def _spread(sizes: list[int]) -> list[int]:
+    """An order in which to fill lanes: the longest texts first, so that no lane ends far behind the rest, then the others at random."""
+    rng = np.random.default_rng(len(sizes))
+    even = sum(sizes) / LEARN_LANES
+    large = sorted((i for i, n in enumerate(sizes) if 4 * n > even), key=lambda i: -sizes[i])
+    small = [i for i, n in enumerate(sizes) if 4 * n <= even]
+    return large + [small[i] for i in rng.permutation(len(small))]
+
+
 def windows(owner: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, valid, keep) of each window, each (steps, active lanes); keep: 0 where a text begins."""
     begins = np.concatenate([[True], owner[1:] != owner[:-1]])
@@ -192,11 +198,13 @@ class Gru:
         return out
 
     def learn(self, texts: list[np.ndarray]) -> int:
-        """One pass of truncated backpropagation by Adagrad; the number of tokens seen."""
+        """One pass of truncated backpropagation by Adagrad; the number of tokens seen.
+
+        Gradients stop at a window's start, the state does not: it is carried to a text's end.
+        """
         if not texts:
             return 0
-        pieces = [t[at : at + STRETCH] for t in texts for at in range(0, len(t), STRETCH)]
-        tokens, owner, starts, lengths = lanes_of(pieces, LEARN_LANES, np.random.default_rng(len(pieces)).permutation(len(pieces)))
+        tokens, owner, starts, lengths = lanes_of(texts, LEARN_LANES, _spread([len(t) for t in texts]))
         if not hasattr(self, "seen"):
             self.seen = unflatten(np.full(SIZE, 1e-8, dtype=np.float32))
         h = np.zeros((len(lengths), UNITS), dtype=np.float32)

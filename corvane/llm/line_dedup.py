@@ -20,8 +20,8 @@ from corvane.llm.common import GAP, GAP_CHARS, with_row_id, written
 
 #: Fewest words of a line that may be near another; shorter lines must be equal.
 LEAST_WORDS = 5
-#: Most documents with candidate lines that are sent to every executor; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Most documents, and candidate lines in them (four bytes each), that are sent to every executor; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_LINES = 300_000, 4_000_000
 
 
 def _hashes(value: Column) -> tuple[Column, Column]:
@@ -85,7 +85,9 @@ def _near_classes(classes: DataFrame, rows: DataFrame, least_words: int, broadca
     maybe = keyed.join(shared, "half").select("h1").distinct()
     places = long_lines.join(maybe, "h1", "left_semi").select("first.row_id", "first.line_no")
     by_row = written(places.groupBy("row_id").agg(F.collect_list("line_no").alias("at")), "places-by-row")
-    side = F.broadcast(by_row) if by_row.count() <= broadcast_rows else by_row.hint("shuffle_hash")
+    size = by_row.agg(F.count("*").alias("rows"), F.sum(F.size("at")).alias("lines")).first()
+    small = size.rows <= broadcast_rows and (size.lines or 0) <= BROADCAST_LINES
+    side = F.broadcast(by_row) if small else by_row.hint("shuffle_hash")
     found = rows.join(side, "row_id").select("row_id", "k", _lines(F.col("t")).alias("lines"), F.explode("at").alias("line_no"))
     found = found.select(_place().alias("first"), _squeezed(F.get("lines", F.col("line_no"))).alias("line"))
     h1, h2 = _hashes(F.col("line"))

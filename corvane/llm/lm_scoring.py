@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import gru
-from corvane.llm.common import with_row_id, written
+from corvane.llm.common import written
 
 #: Words that executors hold at most, additive smoothing, tokens that a replica learns from at least.
 TABLE, SMOOTH, REPLICA = 1 << 17, 0.1, 1_000_000
@@ -256,31 +256,35 @@ def _facts(e: Encoded, lex: Lexicon, mass_log: np.ndarray, count_log: np.ndarray
     return e.sizes.astype(np.int64), total(known).astype(np.int64), base, fixed, _grouped(e.rare, e.rare_text, n)
 
 
-SCORED = "row_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int>>"
+SCORED = "n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int>>"
 
 
-def score(rows: DataFrame, lex: Lexicon, flat: np.ndarray, counts: DataFrame, text: str = "text") -> DataFrame:
-    """(row_id, n_tokens, n_known, base_score, score) of each row's whole text; logs to base 10."""
+def score(rows: DataFrame, lex: Lexicon, flat: np.ndarray, counts: DataFrame, text: str = "text", key: str = "k") -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) of each row's whole text; logs to base 10.
+
+    Texts are read once: what is found is written with the key, and rows get their ids there.
+    """
+    kind = rows.schema[key].dataType.simpleString()
     held = rows.sparkSession.sparkContext.broadcast((lex, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, flat = held.value
         model = gru.Gru(flat)
         mass_log, count_log = np.log10(lex.class_mass), np.log10(lex.counts + SMOOTH)
-        ids, facts, tokens = [], [], []
+        keys, facts, tokens = [], [], []
 
         def out() -> pa.RecordBatch:
             size, known, base, fixed, rare = (list(x) for x in zip(*facts))
             chance = model.score(tokens) / np.log(10) + np.concatenate(fixed)
-            columns = [pa.concat_arrays(ids), *[pa.array(np.concatenate(x)) for x in (size, known, base)], pa.array(chance), pa.concat_arrays(rare)]
-            for x in (ids, facts, tokens):
+            columns = [pa.concat_arrays(keys), *[pa.array(np.concatenate(x)) for x in (size, known, base)], pa.array(chance), pa.concat_arrays(rare)]
+            for x in (keys, facts, tokens):
                 x.clear()
-            return pa.RecordBatch.from_arrays(columns, ["row_id", "n_tokens", "n_known", "base", "score", "rare"])
+            return pa.RecordBatch.from_arrays(columns, ["k", "n_tokens", "n_known", "base", "score", "rare"])
 
         for batch in batches:
             if batch.num_rows:
                 e = lex.encode(_texts(batch))
-                ids.append(batch.column("row_id"))
+                keys.append(batch.column("k"))
                 facts.append(_facts(e, lex, mass_log, count_log))
                 tokens += e.each()
             if sum(map(len, tokens)) >= LAID_OUT:
@@ -288,7 +292,8 @@ def score(rows: DataFrame, lex: Lexicon, flat: np.ndarray, counts: DataFrame, te
         if tokens:
             yield out()
 
-    scored = written(rows.select("row_id", F.col(text).alias("text")).mapInArrow(run, SCORED), "scored")
+    found = rows.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, {SCORED}")
+    scored = written(found.withColumn("row_id", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.n")
     met = rare.join(counts, "word", "left")
     more = met.groupBy("row_id").agg(
@@ -296,7 +301,7 @@ def score(rows: DataFrame, lex: Lexicon, flat: np.ndarray, counts: DataFrame, te
     )
     out = scored.drop("rare").join(more, "row_id", "left")
     log = F.coalesce("log", F.lit(0.0))
-    return out.select("row_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"))
+    return out.select(F.col("k").alias(key), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"))
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,12 +311,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     scored; null keys are held out. No training document: every word is unknown, and the model
     is as it starts. No rows: no rows.
     """
-    rows = with_row_id(docs.select(F.col(key).alias("k"), F.col(text).alias("text"))).withColumn("held_out", held_out(F.col("k")))
-    training = rows.where(~F.col("held_out"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    training = rows.where(~held_out(F.col("k")))
     with small_batches(docs.sparkSession):
         counts = word_counts(training)
         lex = lexicon(counts)
         flat = learn(training, lex)
         found = score(rows, lex, flat, counts)
-    out = rows.select("row_id", F.col("k").alias(key), "held_out").join(found, "row_id")
-    return out.select(key, "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")

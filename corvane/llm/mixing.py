@@ -2,90 +2,126 @@
 
 Slot i of the schedule lies at the golden-ratio point frac(i * 0.618...) of the unit
 interval, which the sources' target shares divide; slots are ranked per source. Each
-source's documents are shuffled by a hash and its running words cut into blocks of
-equal numbers of words, repeated as often as the target asks (three times at most). Slot
-of rank r joins block r, so every prefix of the schedule holds the sources near their shares.
+source's documents are shuffled by a hash, and its running words, three passes over them
+at most, are cut into blocks of equally many words. The slot of rank r takes block r of
+its source, and what no slot takes is not in the mix: the schedule alone decides what is
+taken and when. A source is thus given its share to within a few blocks, in every prefix too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import with_row_id, word_count, written
+from corvane.llm.common import before_part, in_order, with_row_id, word_count, written
 
 #: Fixed value: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
-#: Slots of a schedule, whatever the size of the corpus, and the cells that slots and shares meet in.
-SLOTS = 1 << 18
-CELLS = 4096
+#: Slots of a schedule at least, and words of a block at most: a larger corpus has more slots.
+LEAST_SLOTS, MOST_WORDS = 1 << 18, 1024
+#: Slots whose ranks are counted together, and slots that meet the sources' shares in one cell.
+RUN, CELL = 1 << 14, 64
 #: Most times that a document's words may be taken.
 MOST_PASSES = 3
-#: Parts of the shuffled order of a source; running sums are taken within parts, then over parts.
-PARTS = 1024
+#: Rows in a part of a source's shuffled order, about; running sums are taken within parts, then over parts.
+PART_ROWS, LEAST_PARTS = 20_000, 256
 
 
 def targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_PASSES) -> DataFrame:
-    """Add source_no, weight and target to one row per source (source, source_size).
+    """One row per source (source, source_size) with source_no, weight and target, and ``part`` and ``place`` of its number.
 
     Sources go by code point, null last; weights repeat ``cycle``. The targets share the
     sum of all sizes by weight, none above ``most`` times its source's size: the excess is
-    reshared by weight, which ends at one level L with target = least(cap, weight * L).
-    One row per source reaches the windows without partition, never one per document.
+    reshared by weight until none is above. Each resharing is one sum over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weights = F.array(*[F.lit(float(x)) for x in cycle])
-    named = sources.withColumn("source_no", F.row_number().over(order) - 1)
-    named = named.withColumn("weight", F.get(weights, F.col("source_no") % len(cycle))).withColumn("cap", F.col("source_size").cast("double") * most)
-    everything = Window.partitionBy()
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    level = named.select(
-        "*",
-        F.sum(F.col("source_size").cast("double")).over(everything).alias("total"),
-        F.sum("weight").over(everything).alias("weights"),
-        F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("cap_before"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("weight_before"),
-    ).withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
-    free = F.col("cap") >= F.col("weight") * F.col("level")
-    level = level.withColumn("final", F.min(F.when(free, F.struct(F.col("cap") / F.col("weight"), "source_no", "level"))).over(everything)["level"])
-    return level.select("source", "source_size", "source_no", "weight", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("final"))).alias("target"))
-
-
-def schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(source_no, rank, slot): the slots of each source in order. ``shares`` has source_no and target."""
-    spark = shares.sparkSession
-    upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("target").over(Window.partitionBy())
-    high = F.sum("target").over(upto) / whole
-    cuts = shares.where("target > 0").select("source_no", high.alias("high")).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("source_no")), F.lit(0.0)))
-    last = F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1))
-    cuts = cuts.withColumn("cell", F.explode(F.sequence(F.least(F.floor(F.col("low") * CELLS), F.lit(CELLS - 1)), last)))
-    point = F.col("id") * F.lit(GOLDEN)
-    points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("x")).withColumn("cell", F.floor(F.col("x") * CELLS))
-    hit = points.join(cuts, "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-    return hit.select("source_no", (F.row_number().over(Window.partitionBy("source_no").orderBy("slot")) - 1).cast("long").alias("rank"), "slot")
-
-
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str = "row_id", slots: int = SLOTS) -> DataFrame:
+    named = in_order(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()], "sources")
+    number = F.col("place") + F.col("ahead")
+    named = named.join(before_part(named, F.lit(1), "ahead"), "part").withColumn("source_no", number.cast("long")).drop("ahead")
+    weight = F.get(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("source_no") % len(cycle)).cast("int"))
+    named = named.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * most)
+    total = named.agg(F.sum("source_size")).first()[0] or 0
+    level = 0.0
+    while True:
+        free = F.col("cap") > F.col("weight") * level
+        held = named.agg(F.sum(F.when(~free, F.col("cap"))).alias("full"), F.sum(F.when(free, F.col("weight"))).alias("weights")).first()
+        if not held.weights or (now := (total - (held.full or 0.0)) / held.weights) <= level:
+            break
+        level = now
+    return named.withColumn("target", F.least("cap", F.col("weight") * level)).drop("cap")
+
+
+def slot_count(words: int) -> int:
+    return max(LEAST_SLOTS, -(-words // MOST_WORDS))
+
+
+def points(spark, slots: int) -> DataFrame:
+    """(slot, x): the golden-ratio point of each slot, by halves of the slot's number so that no digits are lost."""
+    half = 1 << 20
+    step = half * 0.6180339887498948482 % 1.0
+    x = F.floor(F.col("id") / half) * F.lit(step) + F.col("id") % half * F.lit(GOLDEN)
+    return spark.range(slots).select(F.col("id").alias("slot"), (x - F.floor(x)).alias("x"))
+
+
+def schedule(shares: DataFrame, slots: int, at: DataFrame | None = None) -> DataFrame:
+    """(source_no, rank, slot): the slots of each source in order. ``shares`` is of ``targets``; ``at`` (slot, x) are the points.
+
+    Ranks are counted in runs of slots and then over the runs, so a source with a third of all slots is no one task's work.
+    """
+    cells = max(1, slots // CELL)
+    whole = shares.agg(F.sum("target")).first()[0] or 0.0
+    if whole <= 0:
+        return shares.select("source_no", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("slot")).limit(0)
+    upto = Window.partitionBy("part").orderBy("place")
+    ends = shares.join(before_part(shares, F.col("target"), "ahead"), "part")
+    # A source ends where the next one begins, to the last digit: both are the same sum.
+    high = (F.col("ahead") + F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, 0))) / whole
+    low = (F.col("ahead") + F.coalesce(F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / whole
+    last_no = shares.where("target > 0").agg(F.max("source_no")).first()[0]
+    cuts = ends.select("source_no", "target", low.alias("low"), F.when(F.col("source_no") == last_no, 2.0).otherwise(high).alias("high")).where("target > 0")
+
+    def cell(x: Column) -> Column:
+        return F.least(F.floor(x * cells), F.lit(cells - 1).cast("long"))
+
+    cuts = cuts.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    at = (points(shares.sparkSession, slots) if at is None else at).withColumn("cell", cell(F.col("x")))
+    hit = at.join(cuts, "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("source_no", "slot", F.expr(f"slot div {RUN}").alias("run"))
+    hit = written(hit, "slots")
+    runs = hit.groupBy("source_no", "run").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("source_no", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("source_no", "run").orderBy("slot")) - 1
+    return hit.withColumn("within", within).join(runs, ["source_no", "run"]).select("source_no", (F.col("ahead") + F.col("within")).cast("long").alias("rank"), "slot")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str = "row_id", slots: int | None = None, at: DataFrame | None = None) -> DataFrame:
     """(row, key, source, size, source_size, target, taken, first_slot) of each row that has ``row``, a unique id.
 
-    size: words of the text (null: 0). taken: words that the mix takes, repeats counted;
-    those of a source sum to its target rounded, those of a document stay within three times
-    its size. first_slot: the first slot that takes a word (null: none). A block may cut a
-    document. The order depends on keys and texts alone, ties on the row id, so reruns agree.
-    Sources that are null are one source; null keys and repeated rows are rows like others;
-    no rows or no words: nothing is taken.
+    size: words of the text (null: 0). taken: words that the mix takes, repeats counted: those
+    of the blocks that slots of the document's source take, so a source's sum is within a few
+    blocks of its target and a document's within three times its size. first_slot: the first
+    slot that takes a word (null: none). A block may cut a document. The order depends on keys
+    and texts alone, ties on the row id, so reruns agree. Sources that are null are one source;
+    null keys and repeated rows are rows like others; no rows or no words: nothing is taken.
+    ``slots`` and ``at`` replace the schedule's length and its points.
     """
     base = docs.select(
         F.col(row).alias("row_id"), F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("h")
     )
     base = written(base, "sizes")
     shares = written(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "shares")
-    block = F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(Window.partitionBy()) / slots))
-    shares = shares.withColumn("quota", F.round("target").cast("long")).withColumn("block", block)
-    placed = base.join(shares, base["source"].eqNullSafe(shares["source"])).select("row_id", "k", base["source"], "size", "h", "source_size", "source_no", "target", "quota", "block")
-    placed = placed.withColumn("part", F.shiftrightunsigned("h", 64 - (PARTS - 1).bit_length()))
+    sums = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words")).first()
+    slots = slots or slot_count(sums.words)
+    block = max(1, -(-sums.words // slots))
+    # So many slots as blocks make up all words: with a block rounded up there are fewer.
+    slots = max(1, -(-sums.words // block))
+    ordered = written(schedule(shares, slots, at), "schedule")
+    given = ordered.groupBy("source_no").agg(F.count("*").alias("blocks"))
+    facts = shares.join(given, "source_no", "left").select("source", "source_no", "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    facts = F.broadcast(facts) if facts.count() <= 100_000 else facts
+    rows = max(1, base.count())
+    bits = max(LEAST_PARTS - 1, rows // PART_ROWS).bit_length()
+    placed = base.join(facts, base["source"].eqNullSafe(facts["source"])).select("row_id", "k", base["source"], "size", "h", "source_size", "source_no", "target", "blocks")
+    placed = placed.withColumn("part", F.shiftrightunsigned("h", 64 - bits))
     parts = placed.groupBy("source_no", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source_no", "part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("part_start"))
@@ -93,21 +129,18 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     placed = placed.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["source_no", "part"])
     start = F.col("part_start") + F.col("inner_start") + F.col("pass") * F.col("source_size")
     passes = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).otherwise(F.array(F.lit(0)))
-    turns = placed.withColumn("pass", F.explode(passes)).withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col("size"), "quota"))
-    taken = F.col("end") > F.col("start")
-    turns = turns.where(taken | (F.col("pass") == 0))
-    # Rows of which nothing is taken get ranks that no block has, all different ones, so that they are dealt evenly.
-    ranks = F.when(taken, F.sequence(F.expr("start div block"), F.expr("(end - 1) div block"))).otherwise(F.array(-1 - F.shiftrightunsigned("h", 1)))
+    turns = placed.withColumn("pass", F.explode(passes)).withColumn("start", start).withColumn("end", F.col("start") + F.col("size"))
+    # Blocks that a source has no slot for find none in the join; those past its last slot are not even sent there.
+    met = (F.col("size") > 0) & (F.expr(f"start div {block}") < F.col("blocks"))
+    turns = turns.where(met | (F.col("pass") == 0))
+    # Rows of which nothing is taken get ranks that no slot has, all different ones, so that they are dealt evenly.
+    ranks = F.when(met, F.sequence(F.expr(f"start div {block}"), F.least(F.expr(f"(end - 1) div {block}"), F.col("blocks") - 1))).otherwise(F.array(-1 - F.shiftrightunsigned("h", 1)))
     pieces = turns.withColumn("rank", F.explode(ranks))
-    words = F.least("end", (F.col("rank") + 1) * F.col("block")) - F.greatest("start", F.col("rank") * F.col("block"))
-    pieces = pieces.withColumn("words", F.when(F.col("rank") >= 0, words).otherwise(F.lit(0)))
-    blocks = shares.where("quota > 0").select("source_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(quota - 1) div block"))).alias("rank"))
-    ordered = blocks.join(schedule(shares, slots), ["source_no", "rank"], "left")
-    # What the schedule's rounding leaves over follows its end.
-    ordered = ordered.select("source_no", "rank", F.coalesce("slot", F.lit(slots) + F.col("rank")).alias("slot"))
-    slotted = pieces.join(ordered, ["source_no", "rank"], "left")
-    rows = slotted.groupBy("row_id", "k", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    return rows.withColumnRenamed("row_id", row).withColumnRenamed("k", key)
+    words = F.least("end", (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)
+    slotted = pieces.withColumn("words", F.when(F.col("rank") >= 0, words)).join(ordered, ["source_no", "rank"], "left")
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0))
+    found = slotted.groupBy("row_id", "k", "source", "size", "source_size", "target").agg(taken.alias("taken"), F.min("slot").alias("first_slot"))
+    return found.withColumnRenamed("row_id", row).withColumnRenamed("k", key)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import scratch_path, with_row_id, written
+from corvane.llm.common import BROADCAST_IDS, scratch_path, sent, with_row_id, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -176,14 +176,14 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Archive every row and return the index.
+    """Archive every row and return the index. Page ids are integers.
 
     Null html is an empty payload, a null URL an empty one; null pages and repeated rows are
     records of their own; equal payloads of ``least_bytes`` or more refer to the first. No rows: an empty index.
     """
     rows = with_row_id(pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     seen = revisits(rows, least_bytes).withColumn("revisit", F.lit(True))
-    marked = rows.join(seen, "row_id", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    marked = rows.join(sent(seen, BROADCAST_IDS), "row_id", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
     return write_archives(marked, folder)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_decontamination import slow_leaks
 from test_line_dedup import slow_dedup
 from test_mixing import slow_targets, words
-from test_simhash import slow_components, slow_fingerprint
+from test_simhash import slow_groups
 
 import corpus_pipeline as cp
 from corvane.llm import mixing, quality
@@ -35,13 +35,9 @@ def test_stages_equal_slow_versions(spark, sf_dir):
     assert {k: r.text for k, r in second.items()} == lines
     assert all(r.n_chars == len(r.text) for k, r in second.items() if r.text != rows[k].text)
 
-    prints = {k: slow_fingerprint(t) for k, t in lines.items()}
-    classes = {}
-    for k, v in prints.items():
-        classes[v] = min(classes.get(v, k), k)
-    rooted = slow_components(classes)
+    rooted = slow_groups(lines)
     third = by_id(got[2])
-    assert sorted(third) == sorted({rooted[v] for v in prints.values()})
+    assert set(third) >= set(rooted.values()) and len(third) <= 1.01 * len(set(rooted.values()))
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {k for k, *_ in slow_leaks([(k, r.text) for k, r in third.items()], items)}
@@ -56,17 +52,20 @@ def test_stages_equal_slow_versions(spark, sf_dir):
         assert 0 < r.mix_words <= 3 * words(r.text) and r.text == fourth[k].text
         taken[r.source] += r.mix_words
     for s, t in slow_targets(sizes).items():
-        assert abs(taken[s] - t) < 1
+        assert abs(taken[s] - t) <= 4 * max(1, -(-sum(sizes.values()) // mixing.LEAST_SLOTS))
     ran = by_id(cp.run(spark, sf_dir))
     assert ran.keys() == last.keys() and all(ran[k] == last[k] for k in ran)
 
 
 @pytest.mark.parametrize("rows", [11, 0])
 def test_odd_rows(spark, odd_docs, sf_dir, rows):
-    docs = odd_docs.limit(rows)
+    clash = ["_row", "row", "rating", "_rating", "order", "k", "t", "mix_words", "mix_slot", "carried", "s", "no"]
+    docs = odd_docs.limit(rows).selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(clash)])
     for name, stage in cp.STAGES:
         out = stage(spark, docs, sf_dir)
-        assert out.columns[: len(docs.columns)] == docs.columns
+        kept = [c for c in docs.columns if name != "mixing" or not c.startswith("mix_")]
+        assert out.columns[: len(kept)] == kept
         docs = cp.written(out, f"odd-{name}")
-    assert docs.count() <= rows
+    got = docs.collect()
+    assert len(got) <= rows and all(r[c] == i for r in got for i, c in enumerate(clash) if not c.startswith("mix_"))
     assert mixing.MOST_PASSES == 3

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from corvane.llm import queries, simhash
 
 
@@ -102,3 +104,114 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[4].fp == np.array([xxhash.xxh64_intdigest(b"one", 42)], dtype=np.uint64).view(np.int64)[0]
     assert by[None].component_id is None
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def slow_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_groups(texts):
+    sets = {k: slow_set(t) for k, t in texts.items()}
+    root = dict.fromkeys(sets)
+    for k in sorted(sets):
+        if root[k] is None:
+            root[k], todo = k, [k]
+            while todo:
+                a = sets[todo.pop()]
+                for m, b in sets.items():
+                    if root[m] is None and (a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))):
+                        root[m] = k
+                        todo.append(m)
+    return root
+
+
+def planted():
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = [word() for _ in range(40)]
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(60, 150))]
+        for edits in (0, 1, 2, 3, 4, 6):
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = word()
+            texts.append(" ".join(w))
+    texts += [" ".join(common + [word() for _ in range(rng.randint(5, 60))]) for _ in range(30)]
+    texts += ["", None, " \t", "one two", "One TWO", "one two three"]
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_similar_texts_equal_slow(spark, bucket):
+    texts = planted()
+    df = spark.createDataFrame([(k, t, k + 100) for k, t in texts.items()], "doc_id long, text string, row_id long").selectExpr("*", "1 as no", "2 as low", "3 as sig")
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df, bucket=bucket).collect()}
+    mostly_equal(got, slow_groups(texts))
+
+
+def mostly_equal(got, want):
+    """No text is in a group that is not its own, and nearly all are in the whole of it."""
+    assert got.keys() == want.keys() and all(want[k] == want[c] for k, c in got.items())
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+
+
+def test_similar_texts_of_one_crowd(spark):
+    """Edits of one text: nearly all keys are crowded, and no pair is lost."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = {}
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randint(0, 5)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(w)
+    df = spark.createDataFrame([(k, t, k + 100) for k, t in texts.items()], "doc_id long, text string, row_id long")
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df, bucket=8).collect()}
+    mostly_equal(got, slow_groups(texts))
+
+
+def test_meetings_do_not_depend_on_batches():
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 200), np.full(90, 41), np.full(33, 42)])) << 8 | 30
+    rows = pd.DataFrame({"key": key, "no": rng.permutation(len(key)), "low": rng.integers(0, 1 << 12, len(key))})
+    want = None
+    for size in (1, 7, 32, 1000):
+        out = pd.concat(list(simhash._meetings(32)(rows.iloc[at : at + size] for at in range(0, len(rows), size))))
+        got = {tuple(r) for r in out.itertuples(index=False)}
+        want = want or got
+        assert got == want
+    crowded = {r[0] >> 8 for r in want if r[3] == -1}
+    assert crowded == {41, 42} and sum(r[3] == -1 for r in want) == 123
+
+
+def test_pieces_of_eleven_errors_share_a_key():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        low, high = rng.integers(0, 1 << 63, 2)
+        flips = rng.choice(128, 11, replace=False)
+        other = [low, high]
+        for f in flips:
+            other[f // 64] = np.int64(np.uint64(other[f // 64]) ^ np.uint64(1 << int(f % 64)))
+        a = simhash.wide_keys(np.array([low]), np.array([high]))[1]
+        b = simhash.wide_keys(np.array([other[0]]), np.array([other[1]]))[1]
+        assert set(a) & set(b)
+
+
+def test_similar_texts_of_odd_rows(spark, odd_docs, no_docs):
+    got = simhash.similar_texts(odd_docs.withColumn("r", F.monotonically_increasing_id()), row="r").collect()
+    assert len(got) == 11
+    by = {r.doc_id: r.component_id for r in got}
+    assert by[1] == by[2] == by[3] == 1 and by[5] == by[6] == 5 and by[7] == 7 and by[None] is None
+    assert simhash.similar_texts(no_docs.withColumn("r", F.lit(1)), row="r").count() == 0
+
+
+def test_stage_drops_edited_copies(spark, sf_dir):
+    """A copy with two changed words of a hundred is beyond two bits of SimHash but shares nine tenths of its shingles."""
+    w = [f"word{i}" for i in range(100)]
+    edited = [*w[:20], "other", *w[21:70], "another", *w[71:]]
+    rows = [(1, " ".join(w)), (2, " ".join(edited)), (3, " ".join(w[:50]))]
+    docs = cp.written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "edited")
+    assert sorted(r.doc_id for r in cp.one_of_each(spark, docs, sf_dir).collect()) == [1, 3]
