@@ -2,12 +2,14 @@
 
 1. quality: documents whose expected rating is not good go (toxic or poor ones).
 2. line_dedup: lines that repeat, or nearly repeat, an earlier line go; documents without a line left go.
-3. simhash: of each group of near-duplicates (0.8 or more of their five-word shingles shared) the document with the least id stays.
+3. simhash: of each group of near-duplicates (Jaccard similarity of five-word shingles of 0.8 or more, found by SimHash and
+   verified on whole texts) the document with the least id stays.
 4. decontamination: documents that hold a benchmark item go.
 5. mixing: documents that the mix takes stay, with how many words it takes and when first.
 
 The first four return the columns of their input; ``n_chars``, where there, follows the text.
-Null and empty texts pass the first stage as the model says, keep their lines, and are near-duplicates of one another.
+Columns of any other name are carried through, whatever they are called; ``mix_words`` and ``mix_slot`` of the input are
+replaced by the last stage's own. Null and empty texts pass the first stage as the model says, keep their lines, and are near-duplicates of one another.
 """
 
 from __future__ import annotations
@@ -15,22 +17,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontamination, line_dedup, mixing, quality, shingles
-from corvane.llm.common import table, with_row_id, written
+from corvane.llm import decontamination, line_dedup, mixing, quality, simhash
+from corvane.llm.common import BROADCAST_IDS, sent, table, with_row_id, written
 
-#: Most row ids that are sent to every executor to leave rows out; beyond, the join shuffles.
-BROADCAST_IDS = 4_000_000
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratings = table(spark, sf_dir, "labels").select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    rated = quality.graded(docs, quality.fit(docs, ratings), out="_rating")
-    return rated.where("_rating.keep").select(*docs.columns)
+    out = unused(docs, "rating")
+    rated = quality.graded(docs, quality.fit(docs, ratings), out=out)
+    return rated.where(F.col(out)["keep"]).select(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = line_dedup.deduped(with_row_id(docs, "_row"), row="_row", carry=others).where("n_kept > 0 or n_lines = 0")
+    row = unused(docs, "row")
+    out = line_dedup.deduped(with_row_id(docs, row), row=row, carry=others).where("n_kept > 0 or n_lines = 0")
     changed = F.col("n_kept") < F.col("n_lines")
     facts = {"doc_id": F.col("doc_id"), "text": F.col("clean_text")} | {c: F.col("carried")[c] for c in others}
     if "n_chars" in facts:
@@ -39,12 +47,12 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = with_row_id(docs, "_row")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = shingles.near_duplicates(rows.select(order.alias("k"), "_row", "text"), "k", row="_row")
-    gone = written(groups.where(F.col("k") != F.col("component_id")).select("_row"), "copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    return rows.join(side, "_row", "left_anti").select(*docs.columns)
+    row, order = unused(docs, "row"), unused(docs, "order")
+    rows = with_row_id(docs, row)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = simhash.similar_texts(rows.select(place.alias(order), row, "text"), order, row=row)
+    gone = written(groups.where(F.col(order) != F.col("component_id")).select(row), "copies")
+    return rows.join(sent(gone, BROADCAST_IDS), row, "left_anti").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +60,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_the_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = with_row_id(docs, "_row")
-    mix = mixing.mixed(rows, row="_row").where("taken > 0").select("_row", F.col("taken").alias("mix_words"), F.col("first_slot").alias("mix_slot"))
-    return rows.join(mix.hint("shuffle_hash"), "_row").select(*docs.columns, "mix_words", "mix_slot")
+    row = unused(docs, "row")
+    rows = with_row_id(docs, row)
+    mix = mixing.mixed(rows, row=row).where("taken > 0").select(row, F.col("taken").alias("mix_words"), F.col("first_slot").alias("mix_slot"))
+    own = [c for c in docs.columns if c.lower() not in ("mix_words", "mix_slot")]
+    return rows.select(*own, row).join(mix.hint("shuffle_hash"), row).select(*own, "mix_words", "mix_slot")
 
 
 STAGES = [("quality", good), ("line_dedup", fresh_lines), ("simhash", one_of_each), ("decontamination", clean), ("mixing", in_the_mix)]
