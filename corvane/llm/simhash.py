@@ -17,8 +17,10 @@ common variant (itself included) differ by two bits at most, none else do.
 texts far more than two bits apart can have. Its fingerprints have 128 bits, cut into
 five segments of 23; a key is an index of each of two segments. By the pigeonhole, of
 eleven errors or fewer two segments have two each at most, so such texts share a key;
-texts with more errors share one more often than not. What shares a key and does not
-differ too much is verified on the shingles of the whole texts.
+texts with more errors share one more often than not. Texts that meet a near fingerprint
+under a key are few; among them alone the pairs are verified on the shingles of whole
+texts. A pair of similarity s has one of the first n - ceil(s n) + 1 of either's n
+shingles in common, rare ones first, so the verification joins these.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import BROADCAST_IDS, sent, written
@@ -46,13 +48,15 @@ BUCKET = 32
 CHUNK, TEXTS = 1 << 16, 2048
 #: Of ``similar_texts``: words of a shingle; least Jaccard similarity as numerator and denominator.
 WIDTH, SHARE = 5, (4, 5)
-#: Segments of 23 bits, how many of them make a key, and most of 64 and of 128 bits in which texts that are compared differ.
-#: Texts at a similarity of 0.8 differ in 9.6 and 19.2 bits on the average, with deviations of 2.9 and 4.0.
-PIECES, TOGETHER, APART, WIDE_APART = 5, 2, 22, 38
+#: Segments of 23 bits, how many of them make a key, and most of 128 bits in which near fingerprints differ. Texts at a
+#: similarity of 0.8 differ in 19.2 bits on the average, with a deviation of 4.0; unlike texts in 64.
+PIECES, TOGETHER, APART = 5, 2, 32
 #: Classes of sizes: texts whose sizes differ by more than the similarity allows lie more than so many classes apart.
 SIZE_BASE, SIZE_CLASSES = 1.1, 3
-#: Rounds in which each text is compared with its nearest first, before what is left between groups is.
-PICKS = 2
+#: Times that all texts of a crowded shingle are compared with one of them, before those still apart are with one another.
+STARS = 2
+#: Longs of a sketch, by which pairs are told apart that share too little.
+SKETCH = 16
 
 
 @cache
@@ -256,7 +260,7 @@ def _spread_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             low, high, no = (part[c].to_numpy(dtype=np.int64) for c in ("low", "high", "no"))
             size = np.floor(np.log(part["n"].to_numpy(dtype=np.float64)) / np.log(SIZE_BASE)).astype(np.int64)
             row, key = wide_keys(low, high)
-            yield pd.DataFrame({"key": key << 8 | size[row], "no": no[row], "low": low[row]})
+            yield pd.DataFrame({"key": key << 8 | size[row], "no": no[row], "low": low[row], "high": high[row]})
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,14 +268,14 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meetings(bucket: int):
-    """Over rows sorted by key: pairs under one key that are near enough, and the rows of crowded keys.
+    """Over rows sorted by key: the texts that meet a near fingerprint, each once or a few times.
 
-    Under a key of ``bucket`` rows or fewer all pairs are compared; under a larger one each
-    row is compared with the first, and all rows are given out to be compared otherwise.
+    Under a key of ``bucket`` rows or fewer all pairs are compared; of a larger one all texts are given out.
     """
+    names = ("key", "no", "low", "high")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {c: np.zeros(0, dtype=np.int64) for c in ("key", "no", "low")}
+        held = {c: np.zeros(0, dtype=np.int64) for c in names}
         before = 0  # rows of the held key so far; those held are the first of them
         for batch in batches:
             if not len(batch):
@@ -279,7 +283,7 @@ def _meetings(bucket: int):
             old = len(held["key"])
             if old and held["key"][0] >> 8 != batch["key"].iloc[0] >> 8:
                 held, old, before = {c: v[:0] for c, v in held.items()}, 0, 0
-            key, no, low = (np.concatenate([held[c], batch[c].to_numpy(dtype=np.int64)]) for c in ("key", "no", "low"))
+            key, no, low, high = (np.concatenate([held[c], batch[c].to_numpy(dtype=np.int64)]) for c in names)
             run, size = key >> 8, key & 255
             starts = np.concatenate([[0], np.nonzero(np.diff(run))[0] + 1])
             owner = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(run)]])))
@@ -287,85 +291,101 @@ def _meetings(bucket: int):
             place[old:] += np.where(owner[old:] == 0, before - old, 0)
             new = np.arange(len(run)) >= old
             found = []
-
-            def near(i: np.ndarray, j: np.ndarray) -> None:
-                d = _differ(low[i], low[j])
-                ok = (d <= APART) & (np.abs(size[i] - size[j]) <= SIZE_CLASSES) & (no[i] != no[j])
-                a, b = no[i[ok]], no[j[ok]]
-                found.append(np.stack([np.maximum(a, b), np.minimum(a, b), d[ok]], axis=1))
-
             for lag in range(1, bucket):
                 i = np.nonzero(new & (place >= lag) & (place < bucket))[0]
                 if not len(i):
                     break
-                near(i, i - lag)
-            far = np.nonzero(new & (place >= bucket))[0]
-            near(far, starts[owner[far]])
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
-            if len(pairs):
-                yield pd.DataFrame({"key": -1, "src": pairs[:, 0], "dst": pairs[:, 1], "d": pairs[:, 2]})
+                j = i - lag
+                ok = (np.abs(size[i] - size[j]) <= SIZE_CLASSES) & (_differ(low[i], low[j]) + _differ(high[i], high[j]) <= APART)
+                found += [no[i[ok]], no[j[ok]]]
             last = np.zeros(len(starts), dtype=np.int64)
             np.maximum.at(last, owner, place)
-            passed = (last >= bucket) & ~((np.arange(len(starts)) == 0) & (before > bucket))
-            crowd = np.nonzero((new & (place >= bucket)) | (passed[owner] & (place < bucket)))[0]
-            if len(crowd):
-                yield pd.DataFrame({"key": key[crowd], "src": no[crowd], "dst": low[crowd], "d": -1})
+            found.append(no[(last >= bucket)[owner] & (new | (before <= bucket))])
+            yield pd.DataFrame({"no": np.unique(np.concatenate(found))})
             before = int(last[-1]) + 1
             keep = np.arange(starts[-1], len(run))[:bucket]
-            held = {"key": key[keep], "no": no[keep], "low": low[keep]}
+            held = {"key": key[keep], "no": no[keep], "low": low[keep], "high": high[keep]}
 
     return meet
 
 
-def _likely(pairs: DataFrame, texts: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Distinct pairs whose whole fingerprints and sizes allow the similarity."""
-    pairs = pairs.groupBy("src", "dst").agg(F.min("d").alias("d"))
-    both = pairs.join(texts.select(F.col("no").alias("src"), "n", "low", "high"), "src")
-    both = both.join(texts.select(F.col("no").alias("dst"), F.col("n").alias("m"), F.col("low").alias("dst_low"), F.col("high").alias("dst_high")), "dst")
-    wide = F.bit_count(F.col("low").bitwiseXOR(F.col("dst_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("dst_high")))
-    sizes = F.least("n", "m") * share[1] >= F.greatest("n", "m") * share[0]
-    return written(both.where((wide <= WIDE_APART) & sizes).select("src", "dst", wide.cast("long").alias("d")), "similar-pairs")
-
-
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Of each text the pair with the fewest differing bits, the least other text of equals."""
-    ends = pairs.select(F.col("src").alias("at"), "d", F.col("dst").alias("nb")).union(pairs.select(F.col("dst").alias("at"), "d", F.col("src").alias("nb")))
-    best = ends.groupBy("at").agg(F.min(F.struct("d", "nb")).alias("b")).select("at", "b.nb")
-    return best.select(F.greatest("at", "nb").alias("src"), F.least("at", "nb").alias("dst")).distinct()
-
-
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose texts are not in one component."""
-    of = [roots.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root")) for c in ("src", "dst")]
-    both = pairs.join(of[0], "src", "left").join(of[1], "dst", "left")
-    return both.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select(*pairs.columns)
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes that fall to each bit: two sketches differ in as many bits, at most, as there are shingles that only one of two sets has."""
+    bits = np.bincount(hashes & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _shingles(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.sort(shingles_of(t, width)[:, 0]).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf("s array<long>, z array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.sort(shingles_of(t, width)[:, 0]).view(np.int64) for t in texts]
+        return pd.DataFrame({"s": pd.Series(sets, dtype=object), "z": pd.Series([sketch_of(x) for x in sets], dtype=object)})
 
     return of(text)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (src, dst) of texts whose similarity is ``share`` or more."""
-    need = pairs.select(F.col("src").alias("no")).union(pairs.select("dst")).distinct()
-    named = written(texts.join(need, "no").select("no", "row"), "similar-rows")
-    sets = written(rows.join(sent(named, BROADCAST_IDS), "row").select("no", _shingles(F.col("t"), width).alias("s")), "similar-sets")
-    both = pairs.select("src", "dst").join(sets.select(F.col("no").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("no").alias("dst"), F.col("s").alias("b")), "dst")
+    both = pairs.join(sets.select(F.col("no").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("no").alias("dst"), F.col("s").alias("b")), "dst")
     shared = F.size(F.array_intersect("a", "b"))
     return written(both.where(shared * (share[0] + share[1]) >= (F.size("a") + F.size("b")) * share[0]).select("src", "dst"), "similar-links")
 
 
+def similar_sets(sets: DataFrame, share: tuple[int, int] = SHARE, bucket: int = BUCKET) -> DataFrame:
+    """(node, component) of texts linked by similarity. ``sets`` has no, n, low, high, s, the distinct hashes of shingles, and z, their sketch.
+
+    Texts that begin with a common shingle, in the order from rare to frequent, are compared, if enough of either is
+    left from that shingle on and their fingerprints and sketches allow it. Of a shingle that more than ``bucket`` begin with, all are compared with one of them,
+    and again with others, ``STARS`` times; then those that are still in different components with one another.
+    """
+    keyed = sets.select("no", "n", F.explode("s").alias("h"))
+    common = keyed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    placed = keyed.join(common, "h", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("no").orderBy("c", "h"))
+    begun = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
+    mine = ("no", "n", "rank", "low", "high", "z")
+    first = placed.withColumn("rank", rank).where((F.col("rank") <= begun) & (F.col("c") > 1)).select("h", "no", "rank")
+    first = written(first, "first-shingles")
+    sizes = first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    held = written(first.join(sizes, "h").join(sets.select("no", "n", "low", "high", "z"), "no"), "shingle-buckets")
+
+    def others(x: DataFrame, *more: str) -> DataFrame:
+        return x.select("h", *[F.col(c).alias(f"{c}2") for c in (*mine, *more)])
+
+    wide = F.bit_count(F.col("low").bitwiseXOR(F.col("low2"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high2")))
+    # Shared at most: this shingle and all after it, if it is the first that both have.
+    most = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1
+    alone = sum((F.bit_count(F.get("z", F.lit(i)).bitwiseXOR(F.get("z2", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    near = (wide <= APART) & (alone * (share[1] + share[0]) <= (F.col("n") + F.col("n2")) * (share[1] - share[0])) & (most * (share[0] + share[1]) >= (F.col("n") + F.col("n2")) * share[0])
+    ends = F.greatest("no", "no2").alias("src"), F.least("no", "no2").alias("dst")
+    few, many = held.where(F.col("m") <= bucket).select("h", *mine), held.where(F.col("m") > bucket).select("h", *mine)
+    pairs = few.join(others(few), "h").where((F.col("no") > F.col("no2")) & near).select(*ends).distinct()
+    links = _verified(written(pairs, "similar-pairs"), sets, share)
+    for turn in range(STARS + 1):
+        roots = connected_components(links)
+        parted = many.join(roots, F.col("no") == F.col("node"), "left").withColumn("c", F.coalesce("component", "no")).drop("node", "component")
+        mixed = parted.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("h")
+        parted = written(parted.join(mixed, "h"), "shingles-apart")
+        if parted.isEmpty():
+            return roots
+        if turn < STARS:
+            one = F.min(F.struct(F.floor(F.col("rank") * 10 / F.col("n")), F.xxhash64("no", F.lit(turn)), *mine, "c")).alias("one")
+            # One that has the shingle early, and so much after it to share.
+            other = parted.groupBy("h").agg(one).select("h", *[F.col(f"one.{c}").alias(f"{c}2") for c in (*mine, "c")])
+        else:
+            other = others(parted, "c")
+        rest = parted.join(other, "h").where((F.col("c") > F.col("c2") if turn == STARS else F.col("c") != F.col("c2")) & near)
+        links = links.union(_verified(written(rest.select(*ends).distinct(), "similar-pairs"), sets, share))
+    return connected_components(links)
+
+
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row_id", width: int = WIDTH, share: tuple[int, int] = SHARE, bucket: int = BUCKET) -> DataFrame:
     """(row, key, component_id) of each row that has ``row``, a unique id, the same in every scan.
 
     component_id: the least key reachable over links of texts whose sets of ``width``-word
     shingles (ASCII case folded) have a Jaccard similarity of ``share`` or more. Links are found
     by Golay keys of fingerprints: every link is verified, but one of texts that differ in more
-    bits than the keys allow for may be missed. Texts with equal sets are one class; null, empty
+    bits than the keys allow for, and that meet no other near text, may be missed. Texts with equal sets are one class; null, empty
     and blank texts are one, too. Repeated rows share a component; a null key is returned but
     names no component that has another key. No rows: no rows.
     """
@@ -386,37 +406,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", row:
     same = ["sig", "n", "low", "high"]
     texts = made.groupBy(*same).agg(F.min("k").alias("least"), F.min("row").alias("row"))
     texts = written(texts.withColumn("no", F.monotonically_increasing_id()), "texts")
-    keyed = texts.where("n > 0").select("no", "n", "low", "high").mapInPandas(_spread_keys, "key long, no long, low long")
+    keyed = texts.where("n > 0").select("no", "n", "low", "high").mapInPandas(_spread_keys, "key long, no long, low long, high long")
     dealt = keyed.repartition(F.shiftright("key", 8)).sortWithinPartitions("key", "no")
-    met = written(dealt.mapInPandas(_meetings(bucket), "key long, src long, dst long, d long"), "meetings")
-    pairs = _likely(met.where("d >= 0").select("src", "dst", "d"), texts, share)
-    links = texts.select(F.col("no").alias("src"), F.col("no").alias("dst")).limit(0)
-    roots = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-
-    def settled(pairs: DataFrame, links: DataFrame, roots: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Some pairs, or all, verified: the links, the components, and the pairs left between components."""
-        picked = written(_nearest(pairs), "nearest") if nearest else pairs
-        links = links.union(_verified(picked, texts, rows, width, share))
-        roots = written(connected_components(links), "similar-roots")
-        left = _between(pairs.join(picked, ["src", "dst"], "left_anti"), roots) if nearest else pairs.limit(0)
-        return links, roots, written(left, "similar-pairs")
-
-    crowd = met.where("d < 0").select(F.shiftright("key", 8).alias("key"), F.col("key").bitwiseAND(F.lit(255)).alias("size"), F.col("src").alias("no"), F.col("dst").alias("low"))
-    for turn in range(2):
-        for step in range(PICKS + 1):
-            if pairs.isEmpty():
-                break
-            links, roots, pairs = settled(pairs, links, roots, step < PICKS)
-        if turn == 0:
-            # Under crowded keys, what the comparisons so far have left in different components meets; such keys are few.
-            parted = crowd.join(roots, F.col("no") == F.col("node"), "left").withColumn("c", F.coalesce("component", "no")).drop("node", "component")
-            mixed = parted.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-            parted = written(parted.join(mixed, "key"), "crowded")
-            other = parted.select("key", F.col("no").alias("dst"), F.col("low").alias("dst_low"), F.col("c").alias("dst_c"), F.col("size").alias("dst_size"))
-            d = F.bit_count(F.col("low").bitwiseXOR(F.col("dst_low")))
-            met_there = parted.join(other, "key").where((F.col("c") > F.col("dst_c")) & (d <= APART) & (F.abs(F.col("size") - F.col("dst_size")) <= SIZE_CLASSES))
-            ends = F.greatest("no", "dst").alias("src"), F.least("no", "dst").alias("dst"), d.cast("long").alias("d")
-            pairs = _likely(met_there.select(*ends), texts, share)
+    met = written(dealt.mapInPandas(_meetings(bucket), "no long").distinct(), "met")
+    few = written(texts.join(met, "no").select("no", "n", "low", "high", "row"), "met-texts")
+    sets = rows.join(sent(few, BROADCAST_IDS), "row").select("no", "n", "low", "high", _shingles(F.col("t"), width).alias("x")).select("no", "n", "low", "high", "x.s", "x.z")
+    roots = similar_sets(written(sets, "similar-sets"), share, bucket)
     rooted = written(texts.join(roots, F.col("no") == F.col("node"), "left").select(*same, "least", F.coalesce("component", "no").alias("root")), "rooted")
     members = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*same, "component_id")
     return made.join(members, same).select(F.col("row").alias(row), F.col("k").alias(key), "component_id")
