@@ -1,13 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed (``LEAST_MATCH`` tokens in a row) are
-joined by rolling Karp-Rabin hashes of their token numbers. Seeds that follow one another
-make matches; the longest match whose tokens are still free is marked again and again, so
-each token lies in one tile at most, and passages moved about are still covered. An item
-leaked where its tiles cover ``COVERAGE`` of it.
-
-The benchmark reaches the executors in blocks of bounded size, one pass over the documents
-each, so neither side is shuffled and a benchmark of any length is taken whole.
+Seeds are runs of ``LEAST_MATCH`` tokens, named by a running Karp-Rabin hash of 64 bits.
+Documents give out those of their seeds that a bit table of fixed size does not rule out;
+they are joined with the seeds of the benchmark, both sides keyed, so a benchmark of any
+length is taken whole. Seeds that follow one another make matches; the longest match whose
+tokens are still free is marked again and again, so each token lies in one tile at most, and
+passages moved about are still covered. An item leaked where its tiles cover ``COVERAGE`` of it.
 """
 
 from __future__ import annotations
@@ -15,20 +13,20 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import BROADCAST_IDS, sent, with_row_id, written
+
 #: Tokens of the least match, and the share of an item that its tiles must cover.
 LEAST_MATCH, COVERAGE = 5, 0.8
-#: Characters of benchmark text that are sent to the executors at once.
-BLOCK_CHARS = 16 << 20
-#: Tokens of documents that are hashed at once.
-CHUNK = 1 << 18
+#: Bits of the table that seeds are looked up in, whatever the benchmark's size: 16 MB, on every executor.
+BITS = 1 << 27
+#: Tokens that are hashed at once, and distinct tokens whose hashes a worker remembers.
+CHUNK, REMEMBERED = 1 << 18, 1 << 20
 #: Fixed value: the base of the rolling hash (modulo 2**64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,17 +39,31 @@ def tokens(text) -> list[str]:
 
 
 def rolling(numbers: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` token numbers."""
+    """Hashes of all runs of ``width`` token numbers; runs of different widths differ."""
     n = len(numbers) - width + 1
-    wide = numbers.astype(np.uint64)
-    out = np.zeros(max(n, 0), dtype=np.uint64)
+    out = np.full(max(n, 0), width, dtype=np.uint64)
     for k in range(width if n > 0 else 0):
-        out = out * BASE + wide[k : n + k]
+        out = out * BASE + numbers[k : n + k]
     return out
 
 
-def tile(seeds: np.ndarray, width: int, doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
-    """Tiles (start in the document, start in the item, length) from seeds (document place, item place).
+class _Numbers(dict):
+    """Token numbers: 64-bit hashes, never zero."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = found = xxhash.xxh64_intdigest(token.encode("utf-8", "replace")) or 1
+        return found
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def tile(seeds: np.ndarray, width: int, size: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in the document, start in the item, length) from seeds (document place, item place) of an item of ``size`` tokens.
 
     Longest first; ties go to the earlier place in the item, then in the document.
     """
@@ -61,12 +73,10 @@ def tile(seeds: np.ndarray, width: int, doc: np.ndarray, item: np.ndarray) -> li
     breaks = np.nonzero((np.diff(diagonal) != 0) | (np.diff(seeds[:, 0]) != 1))[0] + 1
     heap = []
     for run in np.split(seeds, breaks):
-        i, j, length = int(run[0, 0]), int(run[0, 1]), len(run) + width - 1
-        if np.array_equal(doc[i : i + length], item[j : j + length]):
-            heap.append((-length, j, i))
+        heap.append((-len(run) - width + 1, int(run[0, 1]), int(run[0, 0])))
     heapq.heapify(heap)
     in_doc: set[int] = set()
-    in_item = bytearray(len(item))
+    in_item = bytearray(size)
     tiles = []
     while heap:
         length, j, i = heapq.heappop(heap)
@@ -89,154 +99,136 @@ def tile(seeds: np.ndarray, width: int, doc: np.ndarray, item: np.ndarray) -> li
     return tiles
 
 
-class Benchmark:
-    """A block of items, searchable by their seeds. Items of fewer than ``least`` tokens are matched whole."""
-
-    def __init__(self, items: list[tuple[int | None, str]], least: int = LEAST_MATCH, coverage: float = COVERAGE) -> None:
-        self.coverage = coverage
-        self.vocabulary: dict[str, int] = {}
-        self.ids: list[int | None] = []
-        self.items: list[np.ndarray] = []
-        number = self.vocabulary.setdefault
-        for key, text in items:
-            words = tokens(text)
-            if words:
-                self.ids.append(key)
-                self.items.append(np.array([number(w, len(self.vocabulary) + 1) for w in words], dtype=np.int32))
-        self.widths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for width in sorted({min(least, len(x)) for x in self.items}):
-            hashes, owners, places = [], [], []
-            for no, item in enumerate(self.items):
-                if min(least, len(item)) == width:
+def _seeds(least: int):
+    """(item_no, size, width, place, hash) of items; those of fewer than ``least`` tokens are matched whole."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = _Numbers()
+        for batch in batches:
+            for no, text in zip(batch["item_no"], batch["t"]):
+                item = numbers.of(tokens(text))
+                width = min(least, len(item))
+                if width:
                     h = rolling(item, width)
-                    hashes.append(h)
-                    owners.append(np.full(len(h), no))
-                    places.append(np.arange(len(h)))
-            h = np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            self.widths[width] = (h[order], np.concatenate(owners)[order], np.concatenate(places)[order])
-
-    def _in_one(self, numbers: np.ndarray, hits: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, float, list]]:
-        """(item, coverage, tiles) of the items that leaked into one document; hits: (width, places, hashes)."""
-        for width, at, hashes in hits:
-            table, owners, places = self.widths[width]
-            low, high = np.searchsorted(table, hashes, "left"), np.searchsorted(table, hashes, "right")
-            count = high - low
-            index = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            in_doc, owner, in_item = np.repeat(at, count), owners[index], places[index]
-            order = np.argsort(owner, kind="stable")
-            bounds = np.nonzero(np.diff(owner[order]))[0] + 1
-            for group in np.split(order, bounds):
-                no = int(owner[group[0]])
-                item = self.items[no]
-                reach = np.zeros(len(item) + 1, dtype=np.int32)
-                np.add.at(reach, in_item[group], 1)
-                np.add.at(reach, in_item[group] + width, -1)
-                if np.count_nonzero(np.cumsum(reach)[:-1]) < self.coverage * len(item):
-                    continue  # not even all seeds together cover enough
-                tiles = tile(np.stack([in_doc[group], in_item[group]], axis=1), width, numbers, item)
-                covered = sum(t[2] for t in tiles) / len(item)
-                if covered >= self.coverage:
-                    yield no, covered, tiles
-
-    def leaks(self, texts) -> Iterator[tuple[int, int, float, list]]:
-        """(place of the text, item, coverage, tiles) over whole texts."""
-        get = self.vocabulary.get
-        held: list[tuple[int, np.ndarray]] = []
-        size = 0
+                    yield pd.DataFrame({"item_no": no, "size": len(item), "width": width, "place": np.arange(len(h)), "hash": h.view(np.int64)})
+
+    return cut
+
+
+def _bit_table(seeds: DataFrame) -> np.ndarray:
+    """Two bits set for each seed; the driver gets a long for each 64 bits at most."""
+    bit = F.explode(F.array(F.pmod("hash", F.lit(BITS)), F.pmod(F.shiftrightunsigned("hash", 32), F.lit(BITS)))).alias("bit")
+    longs = seeds.select(bit).groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(BITS // 64, dtype=np.int64)
+    table[longs["at"].to_numpy()] = longs["bits"].to_numpy()
+    return table.view(np.uint64)
 
-        def flush():
-            if not held:
-                return
-            starts = np.cumsum([0] + [len(x) + 1 for _, x in held])
-            joined = np.zeros(starts[-1], dtype=np.int32)
-            for (_, x), start in zip(held, starts):
+
+def _hits(table, widths: list[int]):
+    """(file, place, width, at, hash): the seeds of whole texts that the bit table does not rule out."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, bits = _Numbers(), table.value
+        held: list[tuple[int, int, np.ndarray]] = []
+
+        def maybe(h: np.ndarray) -> np.ndarray:
+            at = h & np.uint64(BITS - 1)
+            some = np.nonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))[0]
+            at = h[some] >> np.uint64(32) & np.uint64(BITS - 1)
+            return some[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+
+        def out() -> Iterator[pd.DataFrame]:
+            starts = np.cumsum([0] + [len(x) + 1 for *_, x in held])
+            joined = np.zeros(starts[-1], dtype=np.uint64)
+            for (*_, x), start in zip(held, starts):
                 joined[start : start + len(x)] = x
-            found: dict[int, list] = {}
-            for width, (table, _, _) in self.widths.items():
+            files, places = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+            real = np.concatenate([[0], np.cumsum(joined > 0)])
+            for width in widths:
                 if len(joined) < width:
                     continue
-                known = np.concatenate([[0], np.cumsum(joined > 0)])
-                at = np.nonzero(known[width:] - known[:-width] == width)[0]
-                hashes = rolling(joined, width)[at]
-                place = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                hit = table[place] == hashes
-                at, hashes = at[hit], hashes[hit]
+                h = rolling(joined, width)
+                at = maybe(h)
+                at = at[real[at + width] - real[at] == width]
                 owner = np.searchsorted(starts, at, "right") - 1
-                for no in np.unique(owner):
-                    mine = owner == no if len(held) < 64 else slice(*np.searchsorted(owner, [no, no + 1]))
-                    found.setdefault(int(no), []).append((width, at[mine] - starts[no], hashes[mine]))
-            for no, hits in found.items():
-                row, numbers = held[no]
-                for item, covered, tiles in self._in_one(numbers, hits):
-                    yield row, item, covered, tiles
-
-        for row, text in enumerate(texts):
-            words = tokens(text)
-            if words:
-                held.append((row, np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words))))
-                size += len(words)
-            if size >= CHUNK:
-                yield from flush()
-                held.clear()
-                size = 0
-        yield from flush()
-
-
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in blocks of bounded size."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(item).alias("k"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
-        if held and size + len(r.t) > chars:
-            yield held
-            held, size = [], 0
-        held.append((r.k, r.t))
-        size += len(r.t)
-    if held:
-        yield held
-
-
-LEAK = "key long, item_id long, coverage double, tokens int, tiles array<struct<doc_start:int,item_start:int,tokens:int>>"
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_MATCH, coverage: float = COVERAGE, chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key, item_id, coverage, tokens, tiles) of each document row and item whose tiles cover enough of the item.
+                yield pd.DataFrame({"file": files[owner], "place": places[owner], "width": width, "at": at - starts[owner], "hash": h[at].view(np.int64)})
+            held.clear()
 
-    Places and lengths are in tokens. Null and empty texts and items leak nothing; null keys
-    are returned; repeated rows give a pair each; no documents or no items: no rows.
-    """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-
-    def passed(items) -> DataFrame:
-        block = docs.sparkSession.sparkContext.broadcast(Benchmark(items, least, coverage))
+        size = 0
+        for batch in batches:
+            for file, place, text in zip(batch["file"], batch["place"], batch["t"]):
+                words = tokens(text)
+                if words:
+                    held.append((file, place, numbers.of(words)))
+                    size += len(words)
+                if size >= CHUNK:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keys = batch["key"].astype("Int64")
-                out = [(keys.iloc[row], block.value.ids[no], covered, len(block.value.items[no]), [dict(zip(("doc_start", "item_start", "tokens"), t)) for t in sorted(tiles)]) for row, no, covered, tiles in block.value.leaks(batch["t"])]
-                yield pd.DataFrame(out, columns=["key", "item_id", "coverage", "tokens", "tiles"]).astype({"key": "Int64", "item_id": "Int64"})
+    return find
 
-        return rows.mapInPandas(search, LEAK)
 
-    passes = [passed(b) for b in blocks(benchmark, item, item_text, chars)]
-    found = reduce(DataFrame.union, passes) if passes else docs.sparkSession.createDataFrame([], LEAK)
-    return found.withColumnRenamed("key", key)
+TILED = "file long, place long, item_no long, coverage double, tokens int, tiles array<struct<doc_start:int,item_start:int,tokens:int>>"
 
 
-def _clean(block):
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _tiled(coverage: float):
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = np.ones(len(batch), dtype=bool)
-            for row, *_ in block.value.leaks(batch):
-                ok[row] = False
-            yield pd.Series(ok)
+            out = []
+            for file, place, no, size, width, met in zip(*[batch[c] for c in ("file", "place", "item_no", "size", "width", "met")]):
+                met = np.asarray(met, dtype=np.int64)
+                tiles = tile(np.stack([met >> 32, met & 0xFFFFFFFF], axis=1), int(width), int(size))
+                covered = sum(t[2] for t in tiles) / size
+                if covered >= coverage:
+                    out.append((file, place, no, covered, size, [dict(zip(("doc_start", "item_start", "tokens"), t)) for t in sorted(tiles)]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ("file", "place", "item_no", "coverage", "tokens", "tiles")])
+
+    return mark
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("t")).where("t is not null")
+    return written(items.withColumn("item_no", F.monotonically_increasing_id()), "benchmark")
+
+
+def _leaked(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """(file, place, item_no, coverage, tokens, tiles) of rows (row_id, t) and items whose tiles cover enough."""
+    seeds = items.select("item_no", "t").mapInPandas(_seeds(least), "item_no long, size int, width int, place int, hash long")
+    seeds = written(seeds, "seeds")
+    widths = sorted(r.width for r in seeds.select("width").distinct().collect())
+    table = rows.sparkSession.sparkContext.broadcast(_bit_table(seeds))
+    found = rows.select("row_id.file", "row_id.place", "t").mapInPandas(_hits(table, widths), "file long, place long, width int, at int, hash long")
+    met = written(found, "seed-hits").join(seeds.withColumnRenamed("place", "item_at"), ["hash", "width"])
+    both = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("item_at").cast("long"))
+    pairs = met.groupBy("file", "place", "item_no", "size", "width").agg(F.collect_list(both).alias("met"))
+    # Tiles cover the item's places of seeds at most, each as many tokens as a seed has.
+    reach = F.size(F.array_distinct(F.transform("met", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))))
+    pairs = pairs.where(reach * F.col("width") >= F.lit(coverage) * F.col("size"))
+    return written(pairs.mapInPandas(_tiled(coverage), TILED), "leaks")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """(key, item_id, coverage, tokens, tiles) of each document row and item whose tiles cover enough of the item.
 
-    return clean
+    Keys are of any type. Places and lengths are in tokens. Tokens are told apart by 64-bit hashes.
+    Null and empty texts and items leak nothing; null keys are returned; repeated rows give a pair
+    each; no documents or no items: no rows.
+    """
+    rows = with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("t")))
+    items = _items(benchmark, item, item_text)
+    found = _leaked(rows, items, least, coverage).withColumn("row_id", F.struct("file", "place")).drop("file", "place")
+    named = rows.select("row_id", "key").join(found.hint("shuffle_hash") if found.count() > BROADCAST_IDS // 8 else F.broadcast(found), "row_id").join(items.select("item_no", "item_id"), "item_no")
+    return named.select(F.col("key").alias(key), "item_id", "coverage", "tokens", "tiles")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, all columns kept."""
-    for items in blocks(benchmark, item, item_text, chars):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(Benchmark(items)))(F.col(text)))
-    return docs
+    row = "row"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row = f"_{row}"
+    rows = with_row_id(docs, row)
+    found = _leaked(rows.select(F.col(row).alias("row_id"), F.col(text).alias("t")), _items(benchmark, item, item_text), least, coverage)
+    gone = written(found.select(F.struct("file", "place").alias(row)).distinct(), "leaked-rows")
+    return rows.join(sent(gone, BROADCAST_IDS), row, "left_anti").select(*docs.columns)
