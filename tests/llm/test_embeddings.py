@@ -66,3 +66,69 @@ def test_odd_rows(spark):
     kept = {r.vec_id for r in embeddings.near_duplicates(df).collect() if r.kept}
     assert kept == {7, 8, 9, 10, 11, 12, 13, 1, 15}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def clustered(n, size=64, seed=3):
+    """Vectors of clusters of many widths and sizes, and as many alone."""
+    rng = np.random.default_rng(seed)
+    parts, held = [], 0
+    while held < n:
+        k = int(min(n - held, rng.integers(1, 40)))
+        centre = rng.normal(size=size)
+        parts.append(centre / np.linalg.norm(centre) + rng.uniform(0, 0.6) / np.sqrt(size) * rng.normal(size=(k, size)))
+        held += k
+    return np.concatenate(parts)[rng.permutation(n)]
+
+
+def recall(spark, vectors, every=100):
+    """(links found, links there are) of the vectors whose number ``every`` divides, against all."""
+    import pyarrow as pa
+
+    table = pa.table({"vec_id": pa.array(np.arange(len(vectors))), "embedding": pa.array(list(vectors.astype(np.float32)))})
+    df = spark.createDataFrame(table).repartition(8)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).where(f"vec_id % {every} = 0").collect()}
+    units = vectors.astype(np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    want = {i: int((units[i : i + 1] @ units.T >= 0.9).sum()) - 1 for i in range(0, len(units), every)}
+    assert all(got[i] <= want[i] for i in want)
+    return sum(got.values()), sum(want.values())
+
+
+def test_recall_at_20000(spark):
+    found, there = recall(spark, clustered(20_000))
+    assert there > 500 and found >= 0.95 * there
+
+
+@pytest.mark.parametrize("size", [4, 16])
+def test_recall_on_vectors_without_clusters(spark, size):
+    """In few dimensions all vectors are near many; lists are crowded and cores large."""
+    found, there = recall(spark, np.random.default_rng(size).normal(size=(1200, size)), every=3)
+    assert found >= 0.95 * there and (size > 4 or there > 1000)
+
+
+def test_sql_on_a_table_with_links(spark, tmp_path):
+    """The given tables of the SQL comparison hold no link; this one does."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    v = clustered(300, seed=11).astype(np.float32)
+    rows = [*v.tolist(), v[0].tolist(), (2 * v[1]).tolist(), None, [0.0] * 64]
+    pq.write_table(pa.table({"vec_id": list(range(len(rows))), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({queries.ORACLE_SQL['op1_pivot_index']})").fetchall())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in queries.op1_pivot_index(spark, str(tmp_path)).collect())
+    assert got == want and sum(r[1] for r in got) > 300
+
+
+if __name__ == "__main__":
+    # python tests/llm/test_embeddings.py N: recall on N clustered vectors, of the rows that 100 divides against all.
+    import sys
+    import time
+
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.builder.master("local[8]").config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").getOrCreate()
+    began = time.perf_counter()
+    print(sys.argv[1], recall(session, clustered(int(sys.argv[1]))), f"{time.perf_counter() - began:.0f} s")
