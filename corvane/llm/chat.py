@@ -9,7 +9,7 @@ texts ``\\`` is written ``\\b`` and ``<`` is written ``\\l`` (in roles also ``>`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import word_count
@@ -74,32 +74,27 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     rows are turns of their own; no rows: no rows. A conversation is one output value, so its
     turns meet in one row.
     """
-    turns = messages.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(PARTS_TYPE)).alias("parts")).alias("t"))
-    chats = turns.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def of_turn(t: Column) -> Column:
-        head = _plain(F.concat(F.lit(OPEN), _role_in(t["role"]), F.lit(HEAD_END)))
-        body = F.transform(t["parts"], lambda part: _visit(part, t["role"] == speaker))
-        return F.concat(F.array(head), body, F.array(_plain(F.lit(SHUT))))
-
-    chats = chats.select("conv", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", of_turn)).alias("segments"))
-    zero, no_spans = F.lit(0).cast("bigint"), F.array().cast("array<struct<start:bigint,chars:bigint>>")
-    no_marks = F.array().cast("array<struct<no:bigint,kind:string,ref:string,start:bigint,tokens:bigint>>")
-    empty = F.struct(zero.alias("at"), no_spans.alias("spans"), no_marks.alias("marks"), zero.alias("tokens"))
-
-    def fold(acc: Column, s: Column) -> Column:
-        chars = F.length(s["out"]).cast("bigint")
-        span = F.array(F.struct(acc["at"].alias("start"), chars.alias("chars")))
-        mark = F.array(F.struct(F.size(acc["marks"]).cast("bigint").alias("no"), s["kind"].alias("kind"), s["ref"].alias("ref"), acc["at"].alias("start"), s["tokens"].alias("tokens")))
-        return F.struct(
-            (acc["at"] + chars).alias("at"),
-            F.when(s["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-            F.when(s["kind"].isNotNull(), F.concat(acc["marks"], mark)).otherwise(acc["marks"]).alias("marks"),
-            (acc["tokens"] + s["tokens"]).alias("tokens"),
-        )
-
-    chats = chats.select("conv", "n_turns", F.array_join(F.transform("segments", lambda s: s["out"]), "").alias("formatted"), F.aggregate("segments", empty, fold).alias("walk"))
-    return chats.select(F.col("conv").alias(conv), "n_turns", "formatted", F.col("walk.spans").alias("loss_mask"), F.col("walk.marks").alias("attachments"), F.col("walk.tokens").alias("expanded_tokens"))
+    turns = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(PARTS_TYPE)).alias("parts"))
+    turns = turns.withColumn("turn_no", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "parts")))
+    head = _plain(F.concat(F.lit(OPEN), _role_in(F.col("role")), F.lit(HEAD_END)))
+    body = F.transform("parts", lambda part: _visit(part, F.col("role") == speaker))
+    segments = turns.select("conv", "turn_no", F.posexplode(F.concat(F.array(head), body, F.array(_plain(F.lit(SHUT))))).alias("no", "s"))
+    # Places are running sums over the segments, so a conversation of any length is walked once.
+    before = Window.partitionBy("conv").orderBy("turn_no", "no").rowsBetween(Window.unboundedPreceding, -1)
+    chars = F.length("s.out").cast("bigint")
+    placed = segments.select("conv", "turn_no", "no", "s", chars.alias("chars"), F.coalesce(F.sum(chars).over(before), F.lit(0)).alias("start"))
+    span = F.when(F.col("s.loss"), F.struct("turn_no", "no", "start", "chars"))
+    mark = F.when(F.col("s.kind").isNotNull(), F.struct("turn_no", "no", "start", F.col("s.kind").alias("kind"), F.col("s.ref").alias("ref"), F.col("s.tokens").alias("tokens")))
+    chats = placed.groupBy("conv").agg(
+        F.max("turn_no").cast("long").alias("n_turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_no", "no", F.col("s.out").alias("out")))), lambda x: x["out"]), "").alias("formatted"),
+        F.sort_array(F.collect_list(span)).alias("spans"),
+        F.sort_array(F.collect_list(mark)).alias("marks"),
+        F.sum("s.tokens").alias("expanded_tokens"),
+    )
+    spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("chars")))
+    marks = F.transform("marks", lambda x, i: F.struct(i.cast("bigint").alias("no"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["start"].alias("start"), x["tokens"].alias("tokens")))
+    return chats.select(F.col("conv").alias(conv), "n_turns", "formatted", spans.alias("loss_mask"), marks.alias("attachments"), "expanded_tokens")
 
 
 def read_turns(formatted: Column) -> Column:

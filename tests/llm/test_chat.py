@@ -45,3 +45,19 @@ def test_parts_and_odd_rows(spark):
     assert [(t.role, t.text) for t in got[2].read] == [("", "")] and got[2].loss == ""
     assert got[None].n_turns == 2 and got[None].loss == "kindless" * 2
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_long_conversations_are_walked_once(spark):
+    """20,000 parts in one turn and 20,000 turns; time would be minutes if every part copied those before it."""
+    import time
+
+    part = F.struct(F.lit("text").alias("kind"), F.lit("a <b").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("tokens"))
+    image = F.struct(F.lit("image").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit("x").alias("ref"), F.lit(3).cast("bigint").alias("tokens"))
+    wide = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.flatten(F.array_repeat(F.array(part, image), 10_000)).alias("parts"))
+    deep = spark.range(20_000).select(F.lit(2).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.array(part).alias("parts"))
+    began = time.perf_counter()
+    got = {r.conv_id: r for r in chat.format_chats(wide.union(deep)).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_mask"))).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_turns == 1 and len(got[1].loss_mask) == 10_000 and [a.no for a in got[1].attachments] == list(range(10_000))
+    assert got[1].expanded_tokens == 10_000 * 5 and got[1].loss == "a <b" * 10_000
+    assert got[2].n_turns == 20_000 and got[2].loss == "a <b" * 20_000
