@@ -119,28 +119,43 @@ def rescue_query(ref: Column) -> Column:
     return F.when(F.length(query) >= 20, F.substring(query, 1, 300))
 
 
+def _title_overlap(ref: Column, candidate: Column, share: float) -> tuple[Column, Column]:
+    """(the titles agree, they agree strongly): content words of the candidate's title in the reference, and of the cited title in the candidate's."""
+    everything = F.concat_ws(" ", *[F.nullif(ref[c], F.lit("")) for c in ("text", "article_title", "journal", "series_title")])
+    found, cited = content_words(candidate["title"]), content_words(ref["article_title"])
+    there = share_in(found, content_words(everything))
+    agree = (F.size(found) >= MIN_TITLE_WORDS) & (there >= share) & ((F.size(cited) == 0) | (share_in(cited, found) >= share))
+    return agree, agree & (F.size(found) >= STRONG_TITLE_WORDS) & (there >= STRONG_TITLE_SHARE)
+
+
+def rescue_score(ref: Column, candidate: Column, title_share: float, year_tolerance: int) -> Column:
+    """What speaks for a candidate: 2 a title, 1 numbers or a journal in a known year, 0 nothing; -1 where something speaks against it.
+
+    Against it speak a year too far off, numbers that all differ (unless the titles agree strongly), and a
+    journal article for what was cited from proceedings.
+    """
+    cited, year = biblio_of(ref), F.coalesce(ref["year"], _group(ref["text"], ANY_YEAR, 1).cast("int"))
+    agree, strongly = _title_overlap(ref, candidate, title_share)
+    theirs = F.array_compact(F.array(volume(candidate["volume"]), page(candidate["first_page"])))
+    same_numbers = cited.isNotNull() & F.coalesce(F.arrays_overlap(theirs, F.array_compact(F.array(cited["volume"], cited["first_page"]))), F.lit(False))
+    same_journal = _present(ref["journal"]) & _present(candidate["journal"]) & journal_contained(ref["journal"], candidate["journal"])
+    apart = F.abs(candidate["year"] - year)
+    of_proceedings = ref["series_title"].isNotNull() | F.concat_ws(" ", *[F.nullif(ref[c], F.lit("")) for c in ("text", "article_title", "journal", "series_title")]).rlike(PROCEEDINGS)
+    against = [
+        F.coalesce(apart > year_tolerance, F.lit(False)),
+        cited.isNotNull() & (F.size(theirs) > 0) & ~same_numbers & ~strongly,
+        of_proceedings & (candidate["kind"] == "journal-article") & ~F.coalesce(candidate["journal"], F.lit("")).rlike(PROCEEDINGS),
+    ]
+    score = F.when(agree, 2).when(apart.isNotNull() & (same_numbers | same_journal), 1).otherwise(0)
+    for objection in against:
+        score = F.when(objection, -1).otherwise(score)
+    return score
+
+
 def rescue_accepts(ref: Column, candidate: Column, min_score: float, title_share: float, year_tolerance: int) -> Column:
     """Whether a candidate (doi, score, year, volume, first_page, journal, title, kind) may be the cited paper."""
-    biblio = biblio_of(ref)
-    year = F.coalesce(ref["year"], _group(ref["text"], ANY_YEAR, 1).cast("int"))
-    citation = F.concat_ws(" ", *[F.nullif(ref[c], F.lit("")) for c in ("text", "article_title", "journal", "series_title")])
-    haystack, cited_title = content_words(citation), content_words(ref["article_title"])
-    proceedings = citation.rlike(PROCEEDINGS) | ref["series_title"].isNotNull()
-    years_known = year.isNotNull() & candidate["year"].isNotNull()
-    title = content_words(candidate["title"])
-    forward = share_in(title, haystack)
-    titled = (F.size(title) >= MIN_TITLE_WORDS) & (forward >= title_share) & ((F.size(cited_title) == 0) | (share_in(cited_title, title) >= title_share))
-    strong = titled & (F.size(title) >= STRONG_TITLE_WORDS) & (forward >= STRONG_TITLE_SHARE)
-    vol, first = volume(candidate["volume"]), page(candidate["first_page"])
-    known = vol.isNotNull() | first.isNotNull()
-    ours = [biblio["volume"], biblio["first_page"]]
-    numbers = biblio.isNotNull() & (F.coalesce(vol.isin(*ours), F.lit(False)) | F.coalesce(first.isin(*ours), F.lit(False)))
-    journal = _present(ref["journal"]) & _present(candidate["journal"]) & journal_contained(ref["journal"], candidate["journal"])
-    allowed = _present(candidate["doi"]) & F.coalesce(candidate["kind"].isin(*RESCUE_TYPES), F.lit(False)) & (candidate["score"] >= min_score)
-    near = ~years_known | (F.abs(candidate["year"] - year) <= year_tolerance)
-    other_venue = proceedings & (candidate["kind"] == "journal-article") & ~F.coalesce(candidate["journal"], F.lit("")).rlike(PROCEEDINGS)
-    contradicted = biblio.isNotNull() & known & ~numbers & ~strong
-    return F.coalesce(allowed & near & ~other_venue & ~contradicted & (titled | (years_known & (numbers | journal))), F.lit(False))
+    offered = _present(candidate["doi"]) & candidate["kind"].isin(*RESCUE_TYPES) & (candidate["score"] >= min_score)
+    return F.coalesce(offered & (rescue_score(ref, candidate, title_share, year_tolerance) > 0), F.lit(False))
 
 
 def rescue_match(ref: Column, candidates: Column, min_score: float, title_share: float, year_tolerance: int) -> Column:

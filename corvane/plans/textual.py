@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import biblio, decision, ids, text
+from corvane.functions import biblio, citations, decision, ids, redaction, text
 from corvane.operators import census, graph, measures, social
 from corvane.plans import simulation
 from corvane.plans.bind import Views, counted
@@ -108,11 +108,17 @@ def abstract_from_index(v: Views) -> DataFrame:
     return index.select("doc_id", text.abstract_text(F.col("m")).alias("text"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")
+@query(
+    r"""
+WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>', ' ', 'g') AS h FROM pages),
+cut AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(?:p|div|li|h[1-6]|br|tr|section|article|ul|ol|table)\b[^>]*>', chr(10) || chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS h FROM bare),
+lines AS (SELECT page_id, array_to_string(list_transform(regexp_split_to_array(h, '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)) AS h FROM cut)
+SELECT page_id, trim(regexp_replace(h, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS body FROM lines
+"""
+)
 def html_to_text(v: Views) -> DataFrame:
-    """TXT06 without entities: tags dropped, whitespace squeezed to one line."""
-    bare = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>", " ")
-    return v.t("pages").select("page_id", F.btrim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]+>", " "), r"\s+", " "), F.lit(" ")).alias("body"))
+    """TXT06 without entities: scripts and tags dropped, a paragraph per block element, whitespace squeezed."""
+    return v.t("pages").select("page_id", text.html_text(F.col("html"), decode=False).alias("body"))
 
 
 @query()
@@ -121,11 +127,17 @@ def html_paragraphs(v: Views) -> DataFrame:
     return v.t("pages").select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '\\[\\s*\\d+(?:\\s*[-–,]\\s*\\d+)*\\s*\\]', '[REF]', 'g') AS masked FROM (SELECT doc_id, text || ' [' || doc_id || '] and [3, 4-9]' AS text FROM documents)")
+@query(
+    r"""
+SELECT doc_id, regexp_replace(text, '\[\s*\d+(?:\s*[-–,]\s*\d+)*\s*\]|\(\s*\d{1,3}(?:\s*[-–,]\s*\d{1,3})*\s*\)', '[REF]', 'g') AS masked
+FROM (SELECT doc_id, text || ' [' || doc_id || '] and [3, 4-9]' AS text FROM documents)
+"""
+)
 def numbered_markers(v: Views) -> DataFrame:
-    """TXT10: numbered markers."""
+    """TXT10: numbered markers of works that are not the cited one; no list of the citing paper is known."""
     marked = F.concat("text", F.lit(" ["), F.col("doc_id").cast("string"), F.lit("] and [3, 4-9]"))
-    return v.t("documents").select("doc_id", F.regexp_replace(marked, text.NUMBERED, "[REF]").alias("masked"))
+    none = [F.lit(None).cast(t) for t in ("string", "int", "array<int>", "int")]
+    return v.t("documents").select("doc_id", citations.mask_citations(marked, *none)["text"].alias("masked"))
 
 
 @query()
@@ -143,9 +155,9 @@ def build_items(contexts: DataFrame, dictionaries: list[dict]) -> DataFrame:
     squeezed = contexts.withColumn("text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")))
     reason = F.when(~text.is_prose(F.col("text")), "not_prose").when(~text.is_english(F.col("text")), "not_english")
     rows = squeezed.withColumn("reason", reason)
-    masked = rows.withColumn("m", text.mask_citations("text", "family", "year", "positions", "list_length"))
+    masked = rows.withColumn("m", citations.mask_citations("text", "family", "year", "positions", "list_length"))
     masked = masked.withColumn("reason", F.coalesce("reason", F.when(~F.col("m.placed"), "unresolved")))
-    masked = masked.withColumn("redacted", text.redact(F.col("m.text"), dictionaries))
+    masked = masked.withColumn("redacted", redaction.redact(F.col("m.text"), dictionaries))
     key = F.substring(F.sha2(F.concat("cited_work", F.lit("\n"), "redacted"), 256), 1, 20)
     good = masked.where("reason is null").select(key.alias("item_id"), "cited_work", F.col("redacted").alias("text"), "source", F.col("m.rule").alias("rule"))
     items = good.groupBy("item_id", "cited_work", "text").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.min("rule").alias("rule"))
