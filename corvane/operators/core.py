@@ -63,11 +63,34 @@ def chunk_no(order: list[Column | str], size: int, partition: list[str] = ()) ->
     return F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) / size)
 
 
+def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = 128) -> DataFrame:
+    """Add the place of each row in the whole order, from 0, without one task for all rows.
+
+    Rows fall into parts between the values of ``order`` at sampled places; places count within parts,
+    and a small table of the parts' sizes is summed up. Any sample gives the same places.
+    """
+    key = F.struct(*order)
+    sample = df.select(*order).sample(min(1.0, 20.0 * parts / max(1, df.count())), 7).distinct().orderBy(*order).collect()
+    bounds = sample[:: max(1, len(sample) // parts)][1:]
+    if not bounds:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    kinds = df.select(key.alias("k")).schema["k"].dataType
+    listed = F.array(*[F.struct(*[F.lit(x) for x in b]) for b in bounds]).cast(f"array<{kinds.simpleString()}>")
+    placed = df.withColumn("_part", F.size(F.filter(listed, lambda b: b <= key)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_in", within).join(F.broadcast(sizes.drop("_n")), "_part").withColumn(name, F.col("_ahead") + F.col("_in")).drop("_part", "_in", "_ahead")
+
+
+def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Add ``chunk``, the number of the fixed-size chunk that a row falls in, from 0."""
+    return ranked(df, order, "_rank").withColumn("chunk", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
+
+
 def batches(df: DataFrame, ident: str, size: int, seed: int, rep: int) -> DataFrame:
     """Batches of ids in a seeded order: (batch, ids)."""
     shuffled = F.sha2(F.concat_ws(":", F.lit(f"{seed}:{rep}"), F.col(ident).cast("string")), 256)
-    ranked = df.select(ident, F.row_number().over(Window.orderBy(shuffled, ident)).alias("rank"))
-    dealt = ranked.withColumn("batch", F.floor((F.col("rank") - 1) / size))
+    dealt = ranked(df.select(ident, shuffled.alias("_draw")), ["_draw", ident], "rank").withColumn("batch", F.floor(F.col("rank") / size))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", ident))), lambda x: x[ident])
     return dealt.groupBy("batch").agg(ids.alias("ids"))
 

@@ -6,6 +6,8 @@ naming of clusters in order, greedy choice) runs as a function of one group.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,11 +22,11 @@ def _move(order: np.ndarray, start: np.ndarray, nb: np.ndarray, w: np.ndarray, s
     """Move nodes to the neighbouring group that raises modularity most, until none does. ``within`` bounds the moves."""
     total = strength.sum()
     mass = np.bincount(label, weights=strength, minlength=len(label)).astype(float)
-    moved, active = False, list(order)
+    moved, active = False, deque(order)
     waiting = np.zeros(len(label), dtype=bool)
     waiting[order] = True
     while active:
-        v = active.pop(0)
+        v = active.popleft()
         waiting[v] = False
         near = nb[start[v] : start[v + 1]]
         links = w[start[v] : start[v + 1]]
@@ -167,13 +169,31 @@ def greedy_match(reference: DataFrame, variant: DataFrame) -> DataFrame:
     return na.select(F.col("ref").cast("string")).join(chosen, "ref", "left").select(F.col("ref").alias("reference"), F.col("var").alias("variant"))
 
 
-def dependency_order(links: DataFrame, start: list[str]) -> DataFrame:
-    """(name, depth) of components and all they depend on, deepest first in build order; ``links``: name, upstream. A cycle raises."""
+#: Names of a round that the driver holds; more are kept by checkpoint().
+FRONT = 10_000
+
+
+def dependency_order(links: DataFrame, start: list[str], most: int = 1000) -> DataFrame:
+    """(name, depth) of components and all they depend on, deepest first in build order; ``links``: name, upstream.
+
+    Each round takes the upstreams of the last round's names, combined, until there are none: as many
+    rounds as the longest chain. A cycle, or a chain longer than ``most``, raises.
+    """
     spark = links.sparkSession
-    links.createOrReplaceTempView("corvane_links")
-    seeds = ", ".join(f"'{s}'" for s in start)
-    rows = spark.sql(
-        f"WITH RECURSIVE up(name, depth) AS (SELECT explode(array({seeds})), 0 UNION ALL SELECT l.upstream, u.depth + 1 FROM up u JOIN corvane_links l ON l.name = u.name WHERE u.depth < 40) "
-        "SELECT name, max(depth) AS depth FROM up GROUP BY name"
-    )
-    return rows.withColumn("depth", F.when(F.col("depth") >= 40, F.raise_error(F.lit("dependencies form a cycle")).cast("int")).otherwise(F.col("depth"))).orderBy(F.desc("depth"), "name")
+    level = 0
+    links = links.where("name is not null and upstream is not null").select("name", "upstream")
+    held = []
+    front = spark.createDataFrame([(n,) for n in sorted(set(start))], "name string")
+    while True:
+        if level > most:
+            raise ValueError("dependencies form a cycle")
+        held.append(front.withColumn("depth", F.lit(level)))
+        front = links.join(front, "name", "left_semi").select(F.col("upstream").alias("name")).distinct()
+        front = spark.createDataFrame(front.toArrow()) if front.limit(FRONT + 1).count() <= FRONT else front.checkpoint()
+        if front.isEmpty():
+            break
+        level += 1
+    found = held[0]
+    for more in held[1:]:
+        found = found.union(more)
+    return found.groupBy("name").agg(F.max("depth").alias("depth")).orderBy(F.desc("depth"), "name")

@@ -227,9 +227,10 @@ def bootstrap_draws(items: DataFrame, by: list[str], ident: str, draws: int, see
 
 def order_statistic(rows: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:
     """The value of index n - floor(alpha * n) - 1 of each group in ascending order."""
-    values = rows.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    n = F.size("v")
-    return values.select(*by, F.get("v", (n - F.floor(n * F.lit(alpha)) - 1).cast("int")).alias("threshold"))
+    whole = Window.partitionBy(*by)
+    known = rows.where(F.col(value).isNotNull())
+    placed = known.select(*by, F.col(value).alias("threshold"), (F.row_number().over(whole.orderBy(value)) - 1).alias("at"), F.count("*").over(whole).alias("n"))
+    return placed.where(F.col("at") == F.col("n") - F.floor(F.col("n") * F.lit(alpha)) - 1).select(*by, "threshold")
 
 
 def size_by_power(rows: DataFrame, by: list[str], size: str, passed: Column, power: float) -> DataFrame:

@@ -182,10 +182,15 @@ def social_summary(lineages: DataFrame) -> DataFrame:
 
 
 def descendants(parents: DataFrame, root: str) -> DataFrame:
-    """lineage_id of the root and of all that descend from it; ``parents``: child, parent."""
+    """lineage_id of the root and of all that descend from it, however deep; ``parents``: child, parent."""
+    from corvane.operators.graph import FRONT
+
     spark = parents.sparkSession
-    name = "corvane_parents"
-    parents.createOrReplaceTempView(name)
-    return spark.sql(
-        f"WITH RECURSIVE down(lineage_id, depth) AS (SELECT '{root}', 0 UNION ALL SELECT p.child, d.depth + 1 FROM down d JOIN {name} p ON p.parent = d.lineage_id WHERE d.depth < 64) SELECT DISTINCT lineage_id FROM down"
-    )
+    links = parents.where("child is not null and parent is not null").select("child", F.col("parent").alias("lineage_id"))
+    found = front = spark.createDataFrame([(root,)], "lineage_id string")
+    while True:
+        front = links.join(front, "lineage_id", "left_semi").select(F.col("child").alias("lineage_id")).distinct().join(found, "lineage_id", "left_anti")
+        front = spark.createDataFrame(front.toArrow()) if front.limit(FRONT + 1).count() <= FRONT else front.checkpoint()
+        if front.isEmpty():
+            return found
+        found = found.union(front)

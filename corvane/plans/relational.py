@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import biblio
 from corvane.operators import census, core, measures, social
 from corvane.plans.bind import PAPER_TYPES, Views, counted, sql
+from corvane.sources import tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -338,10 +340,14 @@ def biblio_range_match(v: Views) -> DataFrame:
 
 @query("SELECT DISTINCT a.l_orderkey AS work_id FROM lineitem a JOIN part p ON a.l_linenumber = p.p_size AND abs(year(a.l_shipdate) - 1995) <= 1 AND starts_with(p.p_name, 'red')", plain=True)
 def catalogue_semi_match(v: Views) -> DataFrame:
-    """JOIN08's shape: an equi join on the volume, the rule as a residual, existence only."""
-    parts = v.t("part").where(F.startswith("p_name", F.lit("red"))).select("p_size").distinct()
-    rows = v.t("lineitem").where(F.abs(F.year("l_shipdate") - 1995) <= 1)
-    return rows.join(parts, F.col("l_linenumber") == F.col("p_size"), "left_semi").select(F.col("l_orderkey").alias("work_id")).distinct()
+    """JOIN08: references that a catalogue lists, by volume, then year, journal and the author that the text opens with."""
+    line = v.t("lineitem")
+    known = {"year": F.year("l_shipdate"), "volume": F.col("l_linenumber").cast("string"), "journal": F.lit("Annals of Red Parts"), "text": F.concat(F.lit("Redson, A. "), F.col("l_orderkey").cast("string"))}
+    kinds = dict(x.split(":", 1) for x in biblio.REFERENCE.removeprefix("struct<").removesuffix(">").split(","))
+    ref = F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+    listed = v.t("part").where(F.startswith("p_name", F.lit("red"))).select(F.col("p_size").cast("string").alias("volume")).distinct()
+    entries = listed.select("volume", F.array(F.lit("Annals of Red Parts")).alias("aliases"), F.lit(1995).alias("year"), F.lit(None).cast("string").alias("first_page"), F.lit("redson").alias("first_author"))
+    return census.catalogue_matches(line.select(F.col("l_orderkey").alias("ref_id"), ref.alias("ref")), entries, 1).select(F.col("ref_id").alias("work_id"))
 
 
 # ---- measures
@@ -672,6 +678,14 @@ def keep_first_by_key(v: Views) -> DataFrame:
     return core.keep_first(v.t("events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
+@query("SELECT 'c' || o_custkey AS citation_id, 'W' || min(o_orderkey) AS citing_work, CAST(NULL AS VARCHAR) AS cited_work FROM orders GROUP BY o_custkey", plain=True)
+def keyed_table(v: Views) -> DataFrame:
+    """SRC02: a declared table's columns in order, the first row of each key, what is not declared dropped."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = v.t("orders").select("o_orderkey", tag("W", "o_orderkey").alias("citing_work"), tag("c", "o_custkey").alias("citation_id"))
+    return tables.keyed("citations", rows, ["o_orderkey"])
+
+
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", plain=True)
 def latest_by_key(v: Views) -> DataFrame:
     """WIN02, WIN21, FLT10."""
@@ -689,7 +703,7 @@ def nulls_topk(v: Views) -> DataFrame:
 @query("SELECT CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 16) AS BIGINT) AS chunk, s_suppkey FROM supplier", plain=True)
 def fixed_chunks(v: Views) -> DataFrame:
     """WIN19."""
-    return v.t("supplier").select(core.chunk_no(["s_suppkey"], 16).cast("long").alias("chunk"), "s_suppkey")
+    return core.chunked(v.t("supplier").select("s_suppkey"), ["s_suppkey"], 16)
 
 
 @query("WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY sha256(concat_ws(':', '3:0', CAST(s_suppkey AS VARCHAR))), s_suppkey) AS rk FROM supplier) SELECT CAST(floor((rk - 1) / 8) AS BIGINT) AS batch, array_to_string(list(CAST(s_suppkey AS VARCHAR) ORDER BY rk), ',') AS ids FROM r GROUP BY ALL", plain=True)
@@ -781,13 +795,13 @@ def resolve_refs(v: Views) -> DataFrame:
     return rows.select(F.col("s_suppkey").alias("ref"), F.coalesce("n_name", "r_name").alias("found"))
 
 
-@query("WITH l AS (SELECT l_orderkey AS citing, l_partkey AS cited, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, count(*) OVER (PARTITION BY l_orderkey) AS list_length FROM lineitem) SELECT citing, cited, CAST(position AS INTEGER) AS position, list_length FROM l WHERE cited % 50 = 0", plain=True)
+@query("WITH l AS (SELECT l_orderkey AS citing, l_partkey AS cited, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, count(*) OVER (PARTITION BY l_orderkey) AS list_length FROM lineitem) SELECT citing, cited, CAST(position AS INTEGER) AS position, list_length FROM l", plain=True)
 def reference_positions(v: Views) -> DataFrame:
     """JOIN22."""
     entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lists = v.t("lineitem").groupBy(F.col("l_orderkey").alias("citing")).agg(F.array_sort(F.collect_list(entry)).alias("refs"))
     rows = lists.select("citing", F.posexplode("refs").alias("p", "r"), F.size("refs").cast("long").alias("list_length"))
-    return rows.where("r.l_partkey % 50 = 0").select("citing", F.col("r.l_partkey").alias("cited"), (F.col("p") + 1).alias("position"), "list_length")
+    return rows.select("citing", F.col("r.l_partkey").alias("cited"), (F.col("p") + 1).alias("position"), "list_length")
 
 
 @query("SELECT a.o_custkey AS case_id, a.o_orderkey AS run, b.o_orderkey AS upstream FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate < a.o_orderdate WHERE a.o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderdate DESC, b.o_orderkey DESC) = 1", plain=True)

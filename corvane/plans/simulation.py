@@ -144,7 +144,7 @@ def interval(point: float | None, draws: list, level: float) -> list[float] | No
 
 
 def measure(e: dict, c: Config, rng: np.random.Generator) -> dict:
-    """Point estimates and percentile intervals of one commitment."""
+    """Point estimates and percentile intervals of one commitment, toward the favoured side, or toward both where neither is."""
     families, n, m = len(c.families), len(e["favourable"]), e["codes"].shape[1]
 
     def take(weights: np.ndarray, at: np.ndarray, entries: np.ndarray, tie) -> dict:
@@ -183,17 +183,20 @@ def measure(e: dict, c: Config, rng: np.random.Generator) -> dict:
         held["tau"].append(tau(again(e["breaks"]), again(e["changes"])))
         h = again(e["honoured"])
         held["honoured"].append(float(h.mean()) if len(h) else None)
-    out = {}
-    s = sides[0]
-    points = {"delta": asymmetry(e, every, point["discount"], point["applies"], s), "omega": omission(e, every, s, c.strata), "share": point["share"], "loop": point["loop"]}
-    for k, v in points.items():
-        out[k] = interval(v, held[s, k], c.level)
-    out["tau"] = interval(tau(e["breaks"], e["changes"]), held["tau"], c.level)
-    out["honoured"] = interval(float(e["honoured"].mean()) if len(e["honoured"]) else None, held["honoured"], c.level)
-    return out | {"side": "both" if len(sides) == 2 else "p" if s else "not_p", "citations": int(e["cited"].sum()), "entries": m}
+    oriented = []
+    for s in sides:
+        points = {"delta": asymmetry(e, every, point["discount"], point["applies"], s), "omega": omission(e, every, s, c.strata), "share": point["share"], "loop": point["loop"]}
+        oriented.append({"side": "p" if s else "not_p"} | {k: interval(v, held[s, k], c.level) for k, v in points.items()})
+    ties = interval(tau(e["breaks"], e["changes"]), held["tau"], c.level)
+    conditions = interval(float(e["honoured"].mean()) if len(e["honoured"]) else None, held["honoured"], c.level)
+    first = {k: x for k, x in oriented[0].items() if k != "side"}
+    return first | {"tau": ties, "honoured": conditions, "oriented": oriented, "side": "both" if len(sides) == 2 else oriented[0]["side"], "citations": int(e["cited"].sum()), "entries": m}
 
 
-GRID = "profile string, members int, replicate int, side string, citations int, entries int, delta array<double>, omega array<double>, share array<double>, loop array<double>, tau array<double>, honoured array<double>"
+ORIENTED = "array<struct<side:string,delta:array<double>,omega:array<double>,share:array<double>,loop:array<double>>>"
+GRID = "profile string, members int, replicate int, side string, citations int, entries int, delta array<double>, omega array<double>, share array<double>, loop array<double>, tau array<double>, honoured array<double>, oriented " + ORIENTED
+#: Columns of the grid in order.
+GRID_COLUMNS = [c.split()[0] for c in GRID.removesuffix(ORIENTED).split(", ")]
 
 
 def grid(spark: SparkSession, config: Config, members: list[int], replicates: int) -> DataFrame:
@@ -208,7 +211,7 @@ def grid(spark: SparkSession, config: Config, members: list[int], replicates: in
                 rng = row_rng(config.seed, r.profile, r.members, r.replicate)
                 e = plant_commitment(config.profiles[r.profile], r.members, config, rng)
                 out.append({"profile": r.profile, "members": r.members, "replicate": r.replicate} | measure(e, config, rng))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in GRID.split(", ")])
+            yield pd.DataFrame(out, columns=GRID_COLUMNS)
 
     return rows.repartition(spark.sparkContext.defaultParallelism, "profile", "members", "replicate").mapInPandas(run, GRID)
 
@@ -231,16 +234,25 @@ GATES = {"n": 1, "m": 2, "v": 2, "r": 0.5, "delta": 0.2, "c": 0.4, "k": 3.0, "t"
 
 
 def verdicts(rows: DataFrame, gates: dict = GATES) -> DataFrame:
-    """Add the verdict (verdict, reason, note, corroboration, side) of measured rows; ``closed`` where there is one."""
+    """Add the verdict (verdict, reason, note, corroboration, side) of measured rows; ``closed`` where there is one.
+
+    Where no side is favoured both orientations are read, and the verdict stands on both readings.
+    """
     from corvane.functions import decision
 
-    def iv(name: str):
-        x = F.col(name)
+    def iv(x):
+        x = F.col(x) if isinstance(x, str) else x
         return F.when(F.size(x) == 3, F.struct(F.get(x, F.lit(0)).alias("point"), F.get(x, F.lit(1)).alias("lower"), F.get(x, F.lit(2)).alias("upper"), F.lit(0).alias("n")))
 
     p = {k: F.lit(v) for k, v in gates.items()}
-    read = decision.reading(iv("delta"), iv("omega"), iv("share"), iv("loop"), p["delta"], p["c"], p["k"])
-    rows = rows.withColumn("oriented", F.array(F.struct(F.col("side").alias("side"), read["reading"].alias("reading"), read["note"].alias("note"))))
+    if "oriented" not in rows.columns:
+        rows = rows.withColumn("oriented", F.array(F.struct("side", "delta", "omega", "share", "loop")))
+
+    def read(o):
+        found = decision.reading(iv(o["delta"]), iv(o["omega"]), iv(o["share"]), iv(o["loop"]), p["delta"], p["c"], p["k"])
+        return F.struct(o["side"].alias("side"), found["reading"].alias("reading"), found["note"].alias("note"))
+
+    rows = rows.withColumn("oriented", F.transform("oriented", read))
     closed = F.coalesce("closed", F.lit(False)) if "closed" in rows.columns else F.lit(False)
     m = {
         "closed": closed, "cites": F.lit(True), "disconfirmations": F.col("entries"), "members": F.col("members"), "citations": F.col("citations"), "coverage": F.lit(1.0), "favoured": F.col("side"),

@@ -50,13 +50,15 @@ class Run:
         return self
 
     def store(self, name: str, df: DataFrame, root: str) -> str:
-        """Write a declared table under its content's hash; a table that is there already is not written again."""
+        """Write a declared table under its content's hash; one that is whole already is not written again, one that a failed write left is."""
         table = keyed(name, df)
         digest = content_hash(table)
         path = f"{root}/{name}-{digest}"
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
-        if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            files.delete(target, True)
             write_table(name, df, path)
         self.outputs.append((name, path, digest, int(digest.split("-")[0])))
         return path

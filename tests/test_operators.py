@@ -268,3 +268,26 @@ def test_frames_and_windows_of_a_census(spark):
 
     at = spark.createDataFrame([(0, 100), (9900, 99), (9900, 50)], "o int, n int").select(cut_listing(F.col("o"), F.col("n"), 99, 10000)).collect()
     assert [r[0] for r in at] == [False, True, False]
+
+
+def test_ties_are_read_toward_both_sides(spark):
+    """Where neither side is favoured a commitment is measured toward both, and the verdict does not depend on which comes first."""
+    import numpy as np
+
+    from corvane.plans import simulation
+
+    config = simulation.Config(draws=40)
+    rows = []
+    for k in range(30):
+        e = simulation.plant_commitment(config.profiles["insulated"], 12, config, np.random.default_rng(k))
+        n = len(e["favourable"])
+        e = e | {"favourable": np.arange(n) % 2 == 0, "labels": np.full_like(e["labels"], simulation.SUPPORT), "cited": np.arange(n) < n // 2 * 2}
+        m = simulation.measure(e, config, np.random.default_rng(k))
+        if m["side"] == "both":
+            rows.append(m)
+    assert rows and all([o["side"] for o in m["oriented"]] == ["p", "not_p"] for m in rows)
+    rows = [{"profile": "x", "members": 12, "replicate": i} | m for i, m in enumerate(rows)]
+    turned = [r | {"oriented": r["oriented"][::-1]} for r in rows]
+    read = lambda some: [tuple(r.verdict)[:3] for r in simulation.verdicts(spark.createDataFrame([tuple(x[c] for c in simulation.GRID_COLUMNS) for x in some], simulation.GRID)).orderBy("replicate").collect()]
+    first, second = read(rows), read(turned)
+    assert [x[:2] for x in first] == [x[:2] for x in second]
