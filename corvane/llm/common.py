@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, and the gap between words, as the contracts define them.
@@ -100,14 +100,13 @@ def in_order(df: DataFrame, order: list, tag: str) -> DataFrame:
 
 
 def before_part(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """(part, name): the sum of ``value`` over the parts before each, of a table from ``in_order``; as many rows as parts."""
-    sums = df.groupBy("part").agg(F.sum(value).alias("s")).orderBy("part").collect()
-    kind = "double" if isinstance(sums[0].s if sums else 0, float) else "long"
-    total, rows = 0, []
-    for r in sums:
-        rows.append((r.part, total))
-        total += r.s or 0
-    return F.broadcast(df.sparkSession.createDataFrame([(p, float(t) if kind == "double" else int(t)) for p, t in rows], f"part int, {name} {kind}"))
+    """(part, name): the sum of ``value`` over the parts before each, of a table from ``in_order``.
+
+    One task takes a row per part: as many rows as partitions, however long the table.
+    """
+    sums = df.groupBy("part").agg(F.sum(value).alias("s"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select("part", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias(name)))
 
 
 def lower_ascii(text: Column) -> Column:
