@@ -21,7 +21,9 @@ from corvane.llm.common import GAP, GAP_CHARS, with_row_id, written
 #: Fewest words of a line that may be near another; shorter lines must be equal.
 LEAST_WORDS = 5
 #: Most documents, and candidate lines in them (four bytes each), that are sent to every executor; beyond, the join shuffles.
-BROADCAST_ROWS, BROADCAST_LINES = 300_000, 4_000_000
+BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000
+#: Columns that name a row.
+ROW = ("file", "place")
 
 
 def _hashes(value: Column) -> tuple[Column, Column]:
@@ -55,7 +57,7 @@ def _has_words(line: Column) -> Column:
 
 def _place() -> Column:
     """What lines are ordered by: key (null last), row, place in the row."""
-    return F.struct(F.col("k").isNull().alias("none"), "k", "row_id", "line_no")
+    return F.struct(F.col("k").isNull().alias("none"), "k", *ROW, "line_no")
 
 
 def _lines(text: Column) -> Column:
@@ -83,12 +85,12 @@ def _near_classes(classes: DataFrame, rows: DataFrame, least_words: int, broadca
     keyed = long_lines.select("h1", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
     maybe = keyed.join(shared, "half").select("h1").distinct()
-    places = long_lines.join(maybe, "h1", "left_semi").select("first.row_id", "first.line_no")
-    by_row = written(places.groupBy("row_id").agg(F.collect_list("line_no").alias("at")), "places-by-row")
+    places = long_lines.join(maybe, "h1", "left_semi").select(*[f"first.{c}" for c in ROW], "first.line_no")
+    by_row = written(places.groupBy(*ROW).agg(F.collect_list("line_no").alias("at")), "places-by-row")
     size = by_row.agg(F.count("*").alias("rows"), F.sum(F.size("at")).alias("lines")).first()
     small = size.rows <= broadcast_rows and (size.lines or 0) <= BROADCAST_LINES
     side = F.broadcast(by_row) if small else by_row.hint("shuffle_hash")
-    found = rows.join(side, "row_id").select("row_id", "k", _lines(F.col("t")).alias("lines"), F.explode("at").alias("line_no"))
+    found = rows.join(side, list(ROW)).select(*ROW, "k", _lines(F.col("t")).alias("lines"), F.explode("at").alias("line_no"))
     found = found.select(_place().alias("first"), _squeezed(F.get("lines", F.col("line_no"))).alias("line"))
     h1, h2 = _hashes(F.col("line"))
     found = found.select("first", h1.alias("h1"), h2.alias("h2"), F.split("line", " ").alias("words"))
@@ -147,25 +149,27 @@ def deduped(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str =
     blank ones. No rows: no rows.
     """
     carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
-    rows = rows.select(F.col(row).alias("row_id"), F.col(key).alias("k"), F.col(text).alias("t"), *carried)
+    in_two = "struct" in rows.schema[row].dataType.simpleString()
+    named = [F.col(row)["file"].alias("file"), F.col(row)["place"].alias("place")] if in_two else [F.col(row).alias("file"), F.lit(0).alias("place")]
+    rows = rows.select(*named, F.col(key).alias("k"), F.col(text).alias("t"), *carried)
     extra = ["carried"] if carry else []
-    lines = rows.select("row_id", "k", F.posexplode(_lines(F.col("t"))).alias("line_no", "line"))
-    lines = lines.select("row_id", "k", "line_no", _squeezed(F.col("line")).alias("line")).where("line != ''")
+    lines = rows.select(*ROW, "k", F.posexplode(_lines(F.col("t"))).alias("line_no", "line"))
+    lines = lines.select(*ROW, "k", "line_no", _squeezed(F.col("line")).alias("line")).where("line != ''")
     h1, h2 = _hashes(F.col("line"))
-    hashed = lines.select("row_id", "k", "line_no", "line", _size(F.col("line")).alias("n"), h1.alias("h1"), h2.alias("h2"))
-    hashed = hashed.select("row_id", "k", "line_no", "n", "h1", "h2", F.when(F.col("n") >= least_words, _halves(F.col("line"), F.col("n"))).alias("halves"))
+    hashed = lines.select(*ROW, "k", "line_no", "line", _size(F.col("line")).alias("n"), h1.alias("h1"), h2.alias("h2"))
+    hashed = hashed.select(*ROW, "k", "line_no", "n", "h1", "h2", F.when(F.col("n") >= least_words, _halves(F.col("line"), F.col("n"))).alias("halves"))
     hashed = hashed.select("*", *[F.get("halves", F.lit(i)).alias(f"half{i}") for i in range(4)])
     classes = hashed.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.min("n").alias("n"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)])
     classes = written(classes.select("h1", "h2", "first", "n", F.array(*[f"half{i}" for i in range(4)]).alias("halves")), "line-classes")
     near = written(_near_classes(classes, rows, least_words, broadcast_rows), "near-lines")
-    kept = classes.join(near, ["h1", "h2"], "left_anti").groupBy(F.col("first.row_id").alias("row_id")).agg(F.collect_list("first.line_no").alias("kept"))
-    out = rows.join(kept.hint("shuffle_hash"), "row_id", "left")
-    out = out.select("row_id", "k", "t", *extra, _lines(F.col("t")).alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    kept = classes.join(near, ["h1", "h2"], "left_anti").groupBy(*[F.col(f"first.{c}").alias(c) for c in ROW]).agg(F.collect_list("first.line_no").alias("kept"))
+    out = rows.join(kept.hint("shuffle_hash"), list(ROW), "left")
+    out = out.select(*ROW, "k", "t", *extra, _lines(F.col("t")).alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~_has_words(F.get("lines", i)))
-    out = out.select("row_id", "k", *extra, "lines", "kept", F.when(F.col("t").isNull(), F.array().cast("array<int>")).otherwise(blank).alias("blank"))
+    out = out.select(*ROW, "k", *extra, "lines", "kept", F.when(F.col("t").isNull(), F.array().cast("array<int>")).otherwise(blank).alias("blank"))
     clean = F.array_join(F.transform(F.sort_array(F.concat("kept", "blank")), lambda i: F.get("lines", i)), "\n")
     n_lines = F.coalesce(F.size("lines") - F.size("blank"), F.lit(0))
-    return out.select(F.col("row_id").alias(row), F.col("k").alias(key), F.when(F.col("lines").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size("kept").alias("n_kept"), F.when(F.col("lines").isNotNull(), clean).alias("clean_text"), *extra)
+    return out.select((F.struct(*ROW) if in_two else F.col("file")).alias(row), F.col("k").alias(key), F.when(F.col("lines").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size("kept").alias("n_kept"), F.when(F.col("lines").isNotNull(), clean).alias("clean_text"), *extra)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
