@@ -19,6 +19,8 @@ CORE = WORDS // WIDE
 CLASSES = CORE + ENDINGS
 #: Lanes and steps of a window while learning and while scoring, and the learning rate.
 LEARN_LANES, LEARN_STEPS, SCORE_LANES, SCORE_STEPS, RATE = 512, 16, 512, 16, 0.08
+#: Lanes under which windows get longer, and how many times longer at most.
+FEW_LANES, LONGER = 256, 8
 ABSENT = -30.0
 #: Tokens whose class exponents are held at once, so that they stay in a core's cache.
 BLOCK = 1024
@@ -94,12 +96,16 @@ def windows(owner: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: i
     """(places, valid, keep) of each window, each (steps, active lanes); keep: 0 where a text begins."""
     begins = np.concatenate([[True], owner[1:] != owner[:-1]])
     begins[starts] = True
-    for at in range(0, int(lengths[0]), steps):
+    at = 0
+    while at < int(lengths[0]):
         n = int(np.searchsorted(-lengths, -at, "left"))
-        offset = at + np.arange(steps)[:, None]
+        # Where only the longest texts are left, windows are longer, so that each holds enough tokens to be worth its step.
+        now = steps * max(1, min(LONGER, FEW_LANES // n))
+        offset = at + np.arange(now)[:, None]
         valid = offset < lengths[None, :n]
         places = np.where(valid, starts[None, :n] + offset, 0)
         yield places, valid, (~begins[places]).astype(np.float32)
+        at += now
 
 
 def _log_softmax(exponents: np.ndarray, at: np.ndarray) -> np.ndarray:
