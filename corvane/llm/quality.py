@@ -22,6 +22,8 @@ SAMPLE = 12_000
 FEATURES, EPOCHS, STEP = 1 << 18, 8, 64
 #: Learning rate, its offset, L1 and L2 of the leader's steps.
 RATE, OFFSET, L1, L2 = 1.0, 1.0, 4.0, 0.02
+#: Thresholds stay in order, so far apart at least.
+LEAST_GAP = 1e-3
 #: The probability of the top grade from which a document is kept.
 KEEP = 0.5
 
@@ -77,6 +79,7 @@ class Ordinal:
             return self
         w, z, n = self.weights, np.zeros(FEATURES), np.zeros(FEATURES)
         steps = np.full(len(theta), 1e-8)
+        gaps = LEAST_GAP * np.arange(len(theta))
         rng = np.random.default_rng(seed)
         sizes = np.array([len(r) for r in rows])
         for _ in range(EPOCHS):
@@ -107,7 +110,7 @@ class Ordinal:
                     gt[k] = ((mine == k + 1) * dense[:, k] / chance - (mine == k) * dense[:, k] / chance).sum()
                 steps += gt * gt
                 theta -= 0.1 * gt / np.sqrt(steps)
-                np.maximum.accumulate(theta + 1e-3 * np.arange(len(theta)), out=theta)
+                theta = np.maximum.accumulate(theta - gaps) + gaps
         self.thresholds = theta
         return self
 
