@@ -26,7 +26,7 @@ LEAST_MATCH, COVERAGE = 5, 0.8
 #: Bits of the table that seeds are looked up in, whatever the benchmark's size: 16 MB, on every executor.
 BITS = 1 << 27
 #: Tokens that are hashed at once, and distinct tokens whose hashes a worker remembers.
-CHUNK, REMEMBERED = 1 << 18, 1 << 20
+CHUNK, REMEMBERED = 1 << 18, 1 << 18
 #: Fixed value: the base of the rolling hash (modulo 2**64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
