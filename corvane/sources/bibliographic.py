@@ -124,19 +124,3 @@ def label_rows(results: DataFrame, task: str, subject: str, span: str) -> DataFr
     """Label rows of coded items (item_id, work_id, coder_id, rep, value, missing); the span is the task's own field."""
     value = F.col("value")
     return results.select(F.lit(task).alias("task"), F.lit(subject).alias("subject"), "item_id", "work_id", "coder_id", "rep", value["label"].alias("label"), value[span].alias("span"), "missing")
-
-
-def parse_answers(answers: DataFrame, labels: list[str]) -> DataFrame:
-    """(request_id, item_id, label, missing) of external coders' answers, each item of the request once.
-
-    ``answers``: request_id, items (the ids asked for), answer (JSON). missing says why a label lacks.
-    """
-    got = F.from_json("answer", "struct<items:array<struct<item_id:string,label:string>>>")
-    rows = answers.select("request_id", F.explode("items").alias("item_id"), got.alias("got"))
-    mine = F.filter(F.col("got.items"), lambda x: x["item_id"] == F.col("item_id"))
-    rows = rows.select("request_id", "item_id", "got", mine.alias("mine"))
-    label = F.get("mine", F.lit(0))["label"]
-    missing = (
-        F.when(F.col("got.items").isNull(), "unparseable").when(F.size("mine") == 0, "absent").when(F.size("mine") > 1, "repeated").when(label.isNull() | ~label.isin(*labels), "invalid")
-    )
-    return rows.select("request_id", "item_id", F.when(missing.isNull(), label).alias("label"), missing.alias("missing"))

@@ -26,9 +26,9 @@ OUTCOME = "status int, content_type string, content binary, attempts int, usd do
 CALLS = f"key string, {REQUEST}, {OUTCOME}, day date, retrieved_at timestamp, terms string"
 #: Requests of a source in a round; the pages of a listing that are kept on the driver as requests.
 ROUND, FRONT = 500, 10_000
-#: Attempts a request, seconds of the longest pause, statuses that settle a request or call for another attempt.
+#: Attempts a request, seconds of the longest pause, statuses that settle a request of a kind or call for another attempt.
 ATTEMPTS, LONGEST = 8, 60.0
-SETTLED, SETTLED_DOCUMENT, PASSING = {200, 404}, {200, 401, 403, 404, 410}, {429, 500, 502, 503, 504}
+SETTLED, PASSING = {"document": {200, 401, 403, 404, 410}, "label": {200}, "": {200, 404}}, {429, 500, 502, 503, 504}
 #: Values of one filter that a listing takes at most.
 VALUES = 50
 
@@ -57,6 +57,7 @@ class Policy:
     secret_params: dict[str, str] = field(default_factory=dict)
     secret_headers: dict[str, str] = field(default_factory=dict)
     terms: str | None = None
+    attempts: int = ATTEMPTS
 
 
 def web(url: str, params: dict, headers: dict) -> tuple[int, dict, bytes]:
@@ -79,8 +80,8 @@ class Line:
     def ask(self, kind: str, url: str, params: dict) -> dict:
         """The outcome of a request: settled with a status, or a problem. Every attempt is paid for."""
         out = {"status": None, "content_type": None, "content": None, "attempts": 0, "usd": 0.0, "problem": None}
-        price, settled = self.policy.prices.get(kind, 0.0), SETTLED_DOCUMENT if kind == "document" else SETTLED
-        while out["attempts"] < ATTEMPTS:
+        price, settled = self.policy.prices.get(kind, 0.0), SETTLED.get(kind, SETTLED[""])
+        while out["attempts"] < self.policy.attempts:
             if price > 0 and self.policy.cap is not None and self.spent + price > self.policy.cap + 1e-9:
                 return out | {"problem": "cap"}
             self._take_turn()
@@ -97,6 +98,8 @@ class Line:
                 out["problem"] = f"HTTP {status}"
                 if status not in PASSING:
                     break
+            if out["attempts"] == self.policy.attempts:
+                break
             asked = headers.get("retry-after", "")
             self.sleep(min(float(asked) if asked.isdigit() else 2.0 ** (out["attempts"] - 1), LONGEST))
         return out
@@ -110,7 +113,7 @@ class Line:
 
     @staticmethod
     def _settled(out: dict, kind: str, status: int, headers: dict, body: bytes) -> dict:
-        if kind != "document" and status == 200:
+        if kind not in SETTLED and status == 200:
             try:
                 json.loads(body)
             except ValueError:
@@ -119,10 +122,10 @@ class Line:
         return out | {"status": status, "content_type": kind_of, "content": body if status == 200 else None, "problem": None}
 
 
-def keyed(requests: DataFrame) -> DataFrame:
-    """Requests with their key: a digest that the order of parameters does not change; null parameters are left out."""
+def keyed(requests: DataFrame, *more: str) -> DataFrame:
+    """Requests with their key, and ``more`` columns: a digest that the order of parameters does not change; null parameters are left out."""
     given = F.map_filter(F.coalesce("params", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
-    rows = requests.select("source", "kind", "url", given.alias("params"))
+    rows = requests.select(*more, "source", "kind", "url", given.alias("params"))
     same = F.struct("source", "url", F.array_sort(F.map_entries("params")).alias("params"))
     return rows.select(F.sha2(F.to_json(same), 256).alias("key"), "*")
 
@@ -144,11 +147,11 @@ def usage(spark: SparkSession, archive: str) -> DataFrame:
     return calls(spark, archive).groupBy("source", "kind", "day").agg(F.sum("attempts").alias("attempts"), F.round(F.sum("usd"), 6).alias("usd"))
 
 
-def fetched(requests: DataFrame, archive: str, policies: dict[str, Policy], send: Send = web, offline: bool = False, strict: bool = True, today: dt.date | None = None, sleep=time.sleep) -> DataFrame:
+def fetched(requests: DataFrame, archive: str, policies: dict[str, Policy], send: Send = web, offline: bool = False, strict: bool | str = True, today: dt.date | None = None, sleep=time.sleep) -> DataFrame:
     """(key, source, kind, url, params, status, content_type, content, retrieved_at) of each request.
 
     Equal requests are sent once. ``strict`` raises after the round in which a source did not answer or its cap was
-    met, so what did come is kept; else such requests have a null status. ``offline`` sends nothing.
+    met ("cap": for the cap alone), so what did come is kept; else such requests have a null status. ``offline`` sends nothing.
     """
     spark = requests.sparkSession
     rows = keyed(requests)
@@ -165,7 +168,7 @@ def fetched(requests: DataFrame, archive: str, policies: dict[str, Policy], send
     return rows.join(answers(spark, archive), "key", "left")
 
 
-def _round(pending: DataFrame, archive: str, policies: dict[str, Policy], send: Send, strict: bool, today: dt.date | None, sleep) -> None:
+def _round(pending: DataFrame, archive: str, policies: dict[str, Policy], send: Send, strict: bool | str, today: dt.date | None, sleep) -> None:
     spark = pending.sparkSession
     began, day = dt.datetime.now(dt.UTC), today or dt.datetime.now(dt.UTC).date()
     spent = {r.source: r.usd for r in calls(spark, archive).where(F.col("day") == F.lit(day)).groupBy("source").agg(F.sum("usd").alias("usd")).where(F.col("source").isin(*policies)).collect()}
@@ -184,6 +187,7 @@ def _round(pending: DataFrame, archive: str, policies: dict[str, Policy], send:
     pending.groupBy("source").applyInPandas(of_source, CALLS).write.mode("append").parquet(archive)
     if strict:
         bad = calls(spark, archive).where("problem is not null").where(F.col("retrieved_at") >= F.lit(began)).join(pending.select("key"), "key", "left_semi")
+        bad = bad.where("problem = 'cap'") if strict == "cap" else bad
         first = bad.orderBy(F.col("problem") == "cap", "source", "url").select("source", "url", "problem").head(1)
         if first:
             raise (CapReached if first[0].problem == "cap" else FetchFailed)(f"{first[0].source} {first[0].url}: {first[0].problem}")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.sources import bibliographic as bib
 from corvane.sources import connector as con
+from corvane.sources import labeller
 
 DAY = dt.date(2026, 3, 1)
 # Workers cannot import this module: its senders travel as code.
@@ -162,3 +163,40 @@ def test_listings(spark, tmp_path, monkeypatch):
     sizes = lambda d: sorted((int(r.params.get("offset") or 0), int(r.params["limit"])) for r in d.collect())
     assert sizes(con.listed(pages, con.next_offset(4, 100), archive, POLICIES, send=by_rule, today=DAY, sleep=no_sleep)) == [(0, 4), (4, 4), (8, 4)]
     assert sizes(con.listed(pages, con.next_offset(4, 8), archive, POLICIES, send=by_rule, today=DAY, sleep=no_sleep)) == [(0, 4), (4, 3)]
+
+
+def coder(mode):
+    def send(url, params, headers):
+        if mode == "down":
+            raise TimeoutError
+        if mode == "text":
+            return 200, {}, b"not json at all"
+        asked = [str(i["key"]) for i in json.loads(params["items"])]
+        given = [{"key": k, "label": "+", "span": f"s{k}"} for k in asked]
+        if mode == "odd":
+            given = [{"key": "1", "label": "+"}, {"key": "2", "label": "maybe"}, {"key": "3", "label": "x"}, {"key": "3", "label": "+"}]
+        return 200, {}, json.dumps({"model": "other-9" if mode == "other" else "coder-1-2026", "is_error": mode == "error", "labels": given}).encode()
+
+    return send
+
+
+def test_labels(spark, tmp_path):
+    items = spark.createDataFrame([(f"i{k}", f"text {k}" if k else None) for k in range(7)], "item_id string, text string")
+    batches = spark.createDataFrame([(0, ["i4", "i0", "i2"]), (1, ["i1", "i3", "i5"]), (2, ["i6"])], "batch int, ids array<string>")
+    asked = labeller.requests(batches, items, "A", "T1", "v1", 0)
+    assert "i4" not in asked.where("batch = 0").first().params["items"]
+    run = lambda mode, to, **how: labeller.labelled(asked, str(tmp_path / to), never if mode is None else coder(mode), "coder-1", ["+", "x"], today=DAY, **how)
+    reasons = lambda d: {r.item_id: r.missing for r in d.collect()}
+    first = run("fine", "one")
+    assert {r.item_id: r.value for r in first.collect()} == {i: {"label": "+", "span": f"s{k}"} for i, k in (("i4", 1), ("i0", 2), ("i2", 3), ("i1", 1), ("i3", 2), ("i5", 3), ("i6", 1))}
+    assert run(None, "one", most_calls=0).where("missing is null").count() == 7 and run(None, "one", offline=True).count() == 7
+    with pytest.raises(con.CapReached):
+        run("fine", "two", most_calls=2)
+    assert set(reasons(run("fine", "two", most_calls=1)).values()) == {None}
+    # A failure is kept as one, and the call is made again; an answer that cannot be read is kept as it came.
+    assert set(reasons(run("down", "three")).values()) == {"call_failed"} and set(reasons(run("fine", "three")).values()) == {None}
+    assert con.usage(spark, str(tmp_path / "three")).first().attempts == 6
+    assert set(reasons(run("text", "four")).values()) == {"unparseable"} and con.calls(spark, str(tmp_path / "four")).where("content = cast('not json at all' as binary)").count() == 3
+    assert set(reasons(run("other", "five")).values()) == {"wrong_model"} and set(reasons(run("error", "six")).values()) == {"call_failed"}
+    assert set(reasons(run("fine", "six")).values()) == {None}
+    assert reasons(run("odd", "seven")) == {"i4": None, "i0": "invalid", "i2": "absent", "i1": None, "i3": "invalid", "i5": "absent", "i6": None}

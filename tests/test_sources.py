@@ -125,13 +125,6 @@ def test_nested_sources(spark):
     assert [r.work_id for r in bib.title_search(table, "ALPHA").collect()] == ["W1", "W2"]
 
 
-def test_answers(spark):
-    answer = json.dumps({"items": [{"item_id": "a", "label": "x"}, {"item_id": "b", "label": "?"}, {"item_id": "d", "label": "x"}, {"item_id": "d", "label": "x"}]})
-    df = spark.createDataFrame([("r1", ["a", "b", "c", "d"], answer), ("r2", ["e"], "no json")], "request_id string, items array<string>, answer string")
-    got = {r.item_id: (r.label, r.missing) for r in bib.parse_answers(df, ["x", "+"]).collect()}
-    assert got == {"a": ("x", None), "b": (None, "invalid"), "c": (None, "absent"), "d": (None, "repeated"), "e": (None, "unparseable")}
-
-
 def page(spark, html, url="http://v/2001/toc.shtml", **more):
     df = spark.createDataFrame([(url, html)], "url string, html string")
     for k, x in more.items():
