@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,6 @@ def exact_sample(df: DataFrame, case: str, per_year: int, seed: int) -> DataFram
     import hashlib
 
     import numpy as np
-    import pandas as pd
 
     def key(text: str) -> int:
         return int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "big")
@@ -95,6 +97,46 @@ def batches(df: DataFrame, ident: str, size: int, seed: int, rep: int) -> DataFr
     return dealt.groupBy("batch").agg(ids.alias("ids"))
 
 
+def seeded_sample(df: DataFrame, subject: str, order: list[str], most: int, seed: int, prefix: bool = False) -> DataFrame:
+    """At most ``most`` rows of each subject as Python's ``random.Random("seed:subject").sample`` draws them; ``drawn`` is the place in the draw.
+
+    The pool of a subject is its rows in ``order``, which tells them apart. Only the places drawn reach Python, so a
+    subject of any size is no group in one task; ``prefix`` takes the first of a draw of the whole pool, so that a larger ``most`` adds rows and
+    keeps the others, and lists all its places in one row. A null subject draws under the text None. No rows: no rows.
+    """
+    @F.pandas_udf("array<long>")
+    def places(named: pd.Series, sizes: pd.Series) -> pd.Series:
+        draw = lambda name, n: random.Random(f"{seed}:{name}").sample(range(n), n if prefix else min(most, n))[:most]
+        return pd.Series([draw(name, n) for name, n in zip(named, sizes)])
+
+    rows = ranked(df, [subject, *order], "_rank")
+    pools = rows.groupBy(subject).agg(F.min("_rank").alias("first"), F.count("*").alias("n"))
+    name = F.coalesce(F.col(subject).cast("string"), F.lit("None"))
+    picks = pools.select("first", F.posexplode(places(name, F.col("n"))).alias("drawn", "place"))
+    return rows.join(picks.select((F.col("first") + F.col("place")).alias("_rank"), "drawn"), "_rank").drop("_rank")
+
+
+def exact_batches(df: DataFrame, ident: str, size: int, seed: int, rep: int) -> DataFrame:
+    """Batches of distinct ids, (batch, ids), in the order of Python's ``random.Random("seed:rep").shuffle``.
+
+    The shuffle is a sequence by nature: one task numbers the ids of the pass and one deals their places. Where
+    Python's own order is not needed, ``batches`` has no such tasks.
+    """
+    rows = df.select(ident, (F.row_number().over(Window.orderBy(ident)) - 1).cast("long").alias("at"))
+    n = df.count()
+
+    def deal(frames):
+        for _ in frames:
+            places = list(range(n))
+            random.Random(f"{seed}:{rep}").shuffle(places)
+            for k in range(0, n, 100_000):
+                yield pd.DataFrame({"rank": range(k, min(n, k + 100_000)), "at": places[k : k + 100_000]})
+
+    dealt = df.sparkSession.range(1).coalesce(1).mapInPandas(deal, "rank long, at long")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", ident))), lambda x: x[ident])
+    return rows.join(dealt, "at").groupBy(F.floor(F.col("rank") / size).alias("batch")).agg(ids.alias("ids"))
+
+
 def sub_windows(spark, start: int, end: int, length: int, one_if_short: bool) -> DataFrame:
     """(window_start, window_end): inclusive year windows a year apart; a short span gives one window or none."""
     if end - start + 1 <= length:

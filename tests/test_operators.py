@@ -60,6 +60,24 @@ def test_eligibility(spark):
     assert got == {1990: (3, 3, 1, False, True, True, True), 1991: (3, 1, 1, True, True, False, None), 1992: (3, 0, 1, True, True, False, None)}
 
 
+def test_seeded_draws_are_pythons(spark):
+    import random
+
+    pools = {"b": [f"w{k:03d}" for k in range(90)], "a": ["x", "y"], None: ["n1", "n2", "n3"]}
+    df = spark.createDataFrame([(s, i) for s, ids in pools.items() for i in ids], "subject string, item string").repartition(5)
+    for most, prefix in ((5, False), (5, True), (200, False)):
+        got = {}
+        for r in core.seeded_sample(df, "subject", ["item"], most, 7, prefix).collect():
+            got.setdefault(r.subject, {})[r.drawn] = r["item"]
+        assert {s: [d[k] for k in sorted(d)] for s, d in got.items()} == {s: random.Random(f"7:{s}").sample(ids, len(ids) if prefix else min(most, len(ids)))[:most] for s, ids in pools.items()}
+    assert core.seeded_sample(df.where("false"), "subject", ["item"], 5, 7).count() == 0
+    dealt = list(pools["b"])
+    random.Random("7:2").shuffle(dealt)
+    got = core.exact_batches(df.where("subject = 'b'").select("item"), "item", 40, 7, 2).orderBy("batch").collect()
+    assert [(r.batch, r.ids) for r in got] == [(0, dealt[:40]), (1, dealt[40:80]), (2, dealt[80:])]
+    assert core.exact_batches(df.where("false").select("item"), "item", 40, 7, 2).count() == 0
+
+
 def test_exact_sample_is_numpys(spark):
     works = [("f", 1990, f"W{i:03d}") for i in range(30)] + [("f", 1991, f"V{i:03d}") for i in range(5)]
     df = spark.createDataFrame(works, "frame_id string, year int, work_id string").repartition(3)
