@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.decision import INSULATING, opposite
+from corvane.operators.core import ranked
 
 
 def majority(votes: DataFrame, item: list[str], label: str, weight: Column | None = None) -> DataFrame:
@@ -211,18 +212,20 @@ def percentile_interval(x: Column, level: float) -> tuple[Column, Column]:
     return F.percentile(x, tail), F.percentile(x, 1 - tail)
 
 
-def bootstrap_draws(items: DataFrame, by: list[str], ident: str, draws: int, seed: int) -> DataFrame:
-    """(by, draw, ident): items drawn with replacement by hashed positions; the same for any partitioning.
+def bootstrap_draws(items: DataFrame, by: list[str], ident: str, draws: int, seed: int, carry: list[str] = ()) -> DataFrame:
+    """(by, draw, ident, carry): items drawn with replacement by hashed positions; the same for any partitioning.
 
-    Each group of n items gives n positions a draw; position k takes the item of rank hash(k) mod n.
+    Each group of n items gives n positions a draw; position k takes the item of rank hash(k) mod n. Ranks are places in
+    the whole order less the group's first, so no task holds a group. Items are joined by place alone and by sorting: both
+    sides grow with the items, so neither may be broadcast. Groups named null give nothing.
     """
-    w = Window.partitionBy(*by)
-    ranked = items.select(*by, ident, (F.row_number().over(w.orderBy(ident)) - 1).cast("long").alias("rank"), F.count("*").over(w).alias("n"))
-    spread = ranked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"), F.col("rank").cast("string")))
-    picked = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("n"))
-    targets = spread.select(*by, "draw", picked.alias("rank"))
-    return targets.join(ranked.select(*by, ident, "rank"), [*by, "rank"]).select(*by, "draw", ident)
+    placed = ranked(items.select(*by, ident, *carry).dropna(subset=list(by)) if by else items.select(ident, *carry), [*by, ident], "_place")
+    groups = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    spread = placed.select(*by, "_place").join(groups, list(by)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"), (F.col("_place") - F.col("_first")).cast("string")))
+    picked = F.col("_first") + F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("_n"))
+    targets = spread.select("draw", picked.alias("_place"))
+    return targets.hint("merge").join(placed, "_place").select(*by, "draw", ident, *carry)
 
 
 def order_statistic(rows: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:

@@ -309,3 +309,23 @@ def test_ties_are_read_toward_both_sides(spark):
     read = lambda some: [tuple(r.verdict)[:3] for r in simulation.verdicts(spark.createDataFrame([tuple(x[c] for c in simulation.GRID_COLUMNS) for x in some], simulation.GRID)).orderBy("replicate").collect()]
     first, second = read(rows), read(turned)
     assert [x[:2] for x in first] == [x[:2] for x in second]
+
+
+def test_bootstrap_joins_draws_by_sorting(spark):
+    """Draws and items both grow with the input: neither is broadcast. Rows are drawn by place, as a plain loop draws them, also where ids repeat."""
+    from corvane.plans import catalog
+
+    df = catalog.QUERIES["bootstrap_interval"](spark, "/root/testdata/sf0.001")
+    assert len(df.collect()) == 5
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [_place" in plan
+    items = [("a", i // 2, float(i // 2)) for i in range(40)] + [("b", i, float(i)) for i in range(7)] + [(None, 1, 1.0)]
+    drawn = measures.bootstrap_draws(spark.createDataFrame(items, "g string, i long, v double").repartition(3), ["g"], "i", 4, 11, ["v"])
+    want = []
+    for g in "ab":
+        mine = sorted(x for x in items if x[0] == g)
+        for d in range(4):
+            for k in range(len(mine)):
+                at = int(hashlib.md5(f"11:{g}:{d}:{k}".encode()).hexdigest()[:12], 16) % len(mine)
+                want.append((g, d, mine[at][1], mine[at][2]))
+    assert sorted(map(tuple, drawn.collect())) == sorted(want)
