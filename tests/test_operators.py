@@ -329,3 +329,34 @@ def test_bootstrap_joins_draws_by_sorting(spark):
                 at = int(hashlib.md5(f"11:{g}:{d}:{k}".encode()).hexdigest()[:12], 16) % len(mine)
                 want.append((g, d, mine[at][1], mine[at][2]))
     assert sorted(map(tuple, drawn.collect())) == sorted(want)
+
+
+def test_range_counts_do_not_pair_rows(spark):
+    """3,000 alike references and works are 9,000,000 pairs; only their counted values meet. Nulls meet nothing."""
+    df = spark.range(3000).selectExpr("id", "'k' as k", "cast(id % 3 as int) as size").unionByName(spark.createDataFrame([(9001, None, 1), (9002, "k", None), (9003, "l", 1)], "id long, k string, size int"))
+    got = {r.id: r.candidates for r in census.range_counts(df, df, ["k"], "size", 1).collect()}
+    assert got == {i: 3000 if i % 3 == 1 else 2000 for i in range(3000)} | {9001: 0, 9002: 0, 9003: 1}
+    from corvane.plans import catalog
+
+    part = spark.createDataFrame([(i, "b", "t", i % 50) for i in range(1000)], "p_partkey long, p_brand string, p_type string, p_size int")
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="corvane-part-")
+    part.write.parquet(f"{folder}/part.parquet")
+    query = catalog.QUERIES["biblio_range_match"](spark, folder)
+    assert {r.candidates for r in query.collect()} == {40, 60}
+    met = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if "Join" in name and plan.metrics().contains("numOutputRows"):
+            met.append(plan.metrics().get("numOutputRows").get().value())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(query._jdf.queryExecution().executedPlan())
+    assert met and max(met) <= 1000
