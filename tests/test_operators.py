@@ -360,3 +360,29 @@ def test_range_counts_do_not_pair_rows(spark):
 
     walk(query._jdf.queryExecution().executedPlan())
     assert met and max(met) <= 1000
+
+
+def test_range_counts_name_the_links(spark, tmp_path):
+    """Classes and their links hold every pair of the join; a work without an id is no candidate, as in the SQL."""
+    from corvane.plans import catalog
+
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, "bc"[i % 2], "t" if i % 7 else None, [1, 2, 3, 5, 8, 9, None][i * i % 11 % 7]) for i in range(200)]
+    links_of = {}
+    for at, part in enumerate((rows, [*rows, (None, "b", "t", 2), (None, "b", "t", 4), (None, "z", "t", 4), (900, "z", "t", 5)])):
+        folder = f"{tmp_path}/{at}"
+        spark.createDataFrame(part, "p_partkey long, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{folder}/part.parquet")
+        got = catalog.QUERIES["biblio_range_match"](spark, folder).collect()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+        want = con.execute(f"SELECT ref, candidates, class_id, links FROM ({catalog.ORACLE_SQL['biblio_range_match']})").fetchall()
+        assert sorted(((r.ref, r.candidates, r.class_id, r.links) for r in got), key=repr) == sorted(want, key=repr)
+        links_of[at] = {r.ref: r for r in got}
+    assert links_of[1][900].candidates == 1 and links_of[1][900].links == [900]
+    members = {}
+    for r in links_of[0].values():
+        members.setdefault(r.class_id, []).append(r.ref)
+    pairs = sorted((r.ref, b) for r in links_of[0].values() for c in r.links for b in members[c])
+    near = sorted((a[0], b[0]) for a in rows for b in rows if None not in (*a, *b) and a[1:3] == b[1:3] and abs(a[3] - b[3]) <= 1)
+    assert pairs == near and any(a != b for a, b in pairs)
+    assert all(sum(len(members[c]) for c in r.links) == r.candidates for r in links_of[0].values())
